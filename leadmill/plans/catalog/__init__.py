@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ["scoring"]
+TOPICS = ["scoring", "leads"]
 
 
 def load() -> None:
