@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions import normalize as nz
-from leadmill.operators.namejoin import KEY_PAIRS, similar_pairs
+from leadmill.operators.namejoin import PARTNERS, similar_pairs
 from leadmill.operators.ranking import ranked
 from leadmill.session import checkpoint
 
@@ -150,13 +150,13 @@ def _reachable(firm: DataFrame, opened: DataFrame, pairs: DataFrame) -> DataFram
     return firm.filter("place IS NOT NULL").unionByName(loose.select(*firm.columns))
 
 
-def candidate_edges(firm: DataFrame, opened: DataFrame, key_pairs: int = KEY_PAIRS) -> DataFrame:
+def candidate_edges(firm: DataFrame, opened: DataFrame, partners: int = PARTNERS) -> DataFrame:
     """(v, v_place, u, u_late, u_place): open group v may match the earlier node u."""
     names = firm.select("name", F.lit(False).alias("cand")).unionByName(
         opened.select("name", F.lit(True).alias("cand"))
     ).groupBy("name").agg(F.bool_or("cand").alias("cand"))
     names = checkpoint(names)
-    found = checkpoint(similar_pairs(names, key_pairs))
+    found = checkpoint(similar_pairs(names, partners))
     same = names.select("name", F.col("name").alias("other"))
     pairs = (
         found.select(F.col("a").alias("name"), F.col("b").alias("other"))
@@ -249,12 +249,12 @@ def resolve(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     raise RuntimeError("name pass did not settle")
 
 
-def fuzzy_decisions(decided: DataFrame, key_pairs: int = KEY_PAIRS) -> DataFrame:
+def fuzzy_decisions(decided: DataFrame, partners: int = PARTNERS) -> DataFrame:
     """Complete the decisions: open rows become ``keep`` or ``fuzzy`` with their keeper."""
     decided = checkpoint(decided)
     firm, opened = _nodes(decided)
     opened = checkpoint(opened)
-    ends = resolve(candidate_edges(firm, opened, key_pairs))
+    ends = resolve(candidate_edges(firm, opened, partners))
     groups = opened.join(ends.withColumnRenamed("v", "node"), "node", "left").select(
         F.col("name").alias("g_name"), F.col("place").alias("g_place"), "node", F.col("u").alias("end")
     )
@@ -275,9 +275,9 @@ def fuzzy_decisions(decided: DataFrame, key_pairs: int = KEY_PAIRS) -> DataFrame
     return decided.filter("decision <> 'open'").unionByName(done)
 
 
-def dedupe(raw: DataFrame, companies: DataFrame | None = None, key_pairs: int = KEY_PAIRS) -> DataFrame:
+def dedupe(raw: DataFrame, companies: DataFrame | None = None, partners: int = PARTNERS) -> DataFrame:
     """The full decision log over raw rows; see merged_leads and contact_seeds for results."""
-    return fuzzy_decisions(exact_decisions(candidates(raw), companies), key_pairs)
+    return fuzzy_decisions(exact_decisions(candidates(raw), companies), partners)
 
 
 def removal_counts(decided: DataFrame) -> DataFrame:

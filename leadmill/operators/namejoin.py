@@ -1,20 +1,21 @@
 """All pairs of similar names without comparing all pairs.
 
-Two names with ratio >= 92 differ by at most k = floor(0.08 (l1 + l2)) insertions and
-deletions, so of k + 1 pieces of the shorter one at least one stands unchanged in the longer
-one, shifted by at most the same k (PASS-JOIN, Li et al., VLDB 2011). Pieces are join keys.
-
-A key many names share ("and cooling heating") would still pair its whole group. Such a key
-is narrowed instead: the rest of the shorter name is cut into k + 1 pieces again, one of
-which must stand unchanged as well, and the pair of pieces becomes the key; and so on while
-a key is too common and there is text left. Every step keeps all similar pairs.
+Two names of lengths l1 <= l2 with ratio >= 92 differ by at most k = floor(0.08 (l1 + l2))
+insertions and deletions. Two lossless ways turn that into equi-join keys:
+
+* Cuts, for longer names. Cut the shorter one into k + m pieces: at least m of them stand
+  unchanged in the longer one, shifted by at most k (PASS-JOIN, Li et al., VLDB 2011). So
+  the m - 1 most common pieces can be left out and one of the other k + 1 still matches.
+  Names whose pieces are shared by very many ("and cooling heating") are cut finer, which
+  lets them leave out more of the common text.
+* Deletions, for short names and for those still crowded. The names have a common
+  subsequence of l1 - a letters, a = (k - (l2 - l1)) / 2, so the shorter one without some a
+  letters equals the longer one without some a + l2 - l1 letters (FastSS, Bocek et al., 2007).
+  These keys are as good as matches, however many names look alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,178 +23,173 @@ from leadmill import lexicons as lx
 from leadmill.functions.similarity import is_similar, lcs_udf, max_edits
 from leadmill.session import checkpoint
 
-KEY_PAIRS = 100_000
-MAX_LEVELS = 8
-_SLACK = 100 - lx.FUZZY_PERCENT
-
-
-def _allowed(l1: int, l2: int) -> int:
-    return _SLACK * (l1 + l2) // 100
+PARTNERS = 2_000
+CUTS = (1, 4, 12)
 
 
-def _bounds(length: Column) -> tuple[Column, Column]:
-    """Shortest and longest length a similar name can have: 200·min >= 92·(l1 + l2)."""
+def _longest(length: Column) -> Column:
+    """Longest length a similar name can have: 200 l1 >= 92 (l1 + l2)."""
     p = lx.FUZZY_PERCENT
-    return F.ceil(length * p / F.lit(200 - p)).cast("int"), F.floor(length * (200 - p) / F.lit(p)).cast("int")
+    return F.floor(length * (200 - p) / F.lit(p)).cast("int")
 
 
 def _div(a: Column, b: Column) -> Column:
     return F.floor(a / b).cast("int")
 
 
-def first_keys(names: DataFrame) -> DataFrame:
-    """(name, cand, side, l1, l2, starts, sizes, shifts, key): side 'a' holds the pieces of a
-    name as the shorter one, side 'b' the places where a longer name may hold them."""
-    shortest, longest = _bounds(F.col("n"))
-    base = names.withColumn("n", F.length("name")).filter("n > 0")
-
-    def piece(i, k, n):
-        start = _div(i * n, k + 1)
-        return start, _div((i + 1) * n, k + 1) - start
-
-    def as_shorter(l2):
-        k = max_edits(F.col("n"), l2)
-
-        def one(i):
-            start, size = piece(i, k, F.col("n"))
-            return F.struct(
-                F.lit("a").alias("side"), F.col("n").alias("l1"), l2.alias("l2"), start.alias("start"),
-                size.alias("size"), F.lit(0).alias("shift"), F.substr("name", start + 1, size).alias("text"),
-            )
-
-        return F.when(k > 0, F.transform(F.sequence(F.lit(0), k), one))
-
-    def as_longer(l1):
-        k = max_edits(l1, F.col("n"))
-        d = F.col("n") - l1
-        left, right = -_div(k - d, F.lit(2)), _div(k + d, F.lit(2))
-
-        def one(i):
-            start, size = piece(i, k, l1)
-            return F.transform(
-                F.filter(F.sequence(left, right), lambda s: (start + s >= 0) & (start + s + size <= F.col("n"))),
-                lambda s: F.struct(
-                    F.lit("b").alias("side"), l1.alias("l1"), F.col("n").alias("l2"), start.alias("start"),
-                    size.alias("size"), s.alias("shift"),
-                    F.substr("name", start + s + 1, size).alias("text"),
-                ),
-            )
-
-        return F.when(k > 0, F.flatten(F.transform(F.sequence(F.lit(0), k), one)))
-
-    a = base.select("name", "cand", F.explode(F.transform(F.sequence(F.col("n"), longest), as_shorter)).alias("p"))
-    b = base.select("name", "cand", F.explode(F.transform(F.sequence(shortest, F.col("n")), as_longer)).alias("p"))
-    both = a.unionAll(b).select("name", "cand", F.inline("p"))
-    return both.select(
-        "name", "cand", "side", "l1", "l2",
-        F.array("start").alias("starts"), F.array("size").alias("sizes"), F.array("shift").alias("shifts"),
-        F.xxhash64("l1", "l2", "start", "text").alias("key"),
+def _piece(i: Column, parts: Column, l1: Column) -> tuple[Column, Column]:
+    start = _div(i * l1, parts)
+    return start, _div((i + 1) * l1, parts) - start
+
+
+# ---- cuts ----
+
+
+def shorter_pieces(todo: DataFrame, m: int) -> DataFrame:
+    """(name, cand, l2, keep, key): pieces of ``name`` towards names of length l2; any
+    ``keep`` of them are enough."""
+    l1, l2 = F.length("name"), F.col("l2")
+    k = max_edits(l1, l2)
+    parts = F.least(k + m, l1)
+
+    def one(i):
+        start, size = _piece(i, parts, l1)
+        return F.xxhash64(l1, l2, F.lit(m), i, F.substr("name", start + 1, size))
+
+    pieces = F.transform(F.sequence(F.lit(0), parts - 1), one)
+    return todo.select("name", "cand", "l2", (k + 1).alias("keep"), F.explode(pieces).alias("key"))
+
+
+def longer_pieces(names: DataFrame, shapes: DataFrame, m: int) -> DataFrame:
+    """(name, cand, key): where a name may hold the pieces of shorter names."""
+    l1, l2 = F.col("l1"), F.col("l2")
+    k = max_edits(l1, l2)
+    d = l2 - l1
+    parts = F.least(k + m, l1)
+    left, right = -_div(k - d, F.lit(2)), _div(k + d, F.lit(2))
+
+    def one(i):
+        start, size = _piece(i, parts, l1)
+        places = F.filter(
+            F.sequence(left, right), lambda s: (start + s >= 0) & (start + s + size <= l2)
+        )
+        return F.transform(
+            places, lambda s: F.xxhash64(l1, l2, F.lit(m), i, F.substr("name", start + s + 1, size))
+        )
+
+    keys = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), parts - 1), one)))
+    return _shaped(names, shapes).select("name", "cand", F.explode(keys).alias("key"))
+
+
+def _shaped(names: DataFrame, shapes: DataFrame) -> DataFrame:
+    # ``shapes`` holds length pairs, a few hundred rows for texts as short as names
+    rows = names.repartition("name").withColumn("l2", F.length("name"))
+    return rows.join(F.broadcast(shapes), "l2")
+
+
+def _partners(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per (name, l2): the rarest keys that are enough and how many partners they bring."""
+    common = b.groupBy("key").agg(
+        F.count("*").alias("any"), F.count_if("cand").alias("cands")
+    )
+    rated = a.join(common, "key", "left").withColumn(
+        "n", F.coalesce(F.when(F.col("cand"), F.col("any")).otherwise(F.col("cands")), F.lit(0))
     )
+    return rated.groupBy("name", "cand", "l2").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("n", "key"))), 1, F.max("keep")).alias("use")
+    ).withColumn("cost", F.aggregate("use", F.lit(0).cast("bigint"), lambda x, y: x + y["n"]))
+
+
+# ---- deletions ----
+
 
+def _without(name: Column, count: Column) -> Column:
+    """All texts left when ``count`` (0 to 2) letters are taken out."""
+    n = F.length(name)
 
-def _rest_pieces(l1: int, k: int, starts, sizes) -> list[tuple[int, int]]:
-    """k + 1 pieces (start, size) covering what the chosen pieces leave of the shorter name;
-    none if too little is left."""
-    gaps, at = [], 0
-    for s, m in sorted(zip(starts, sizes, strict=True)):
-        if s > at:
-            gaps.append((at, s - at))
-        at = s + m
-    if at < l1:
-        gaps.append((at, l1 - at))
-    left = sum(m for _, m in gaps)
-    if left < k + 1:
-        return []
-    # more pieces go where the pieces are longest; each gap gets one first
-    shares = {g: 1 for g in gaps}
-    while sum(shares.values()) < k + 1:
-        widest = max(gaps, key=lambda g: (g[1] / shares[g], -g[0]))
-        shares[widest] += 1
-    out = []
-    for (s, m), parts in shares.items():
-        cuts = [s + i * m // parts for i in range(parts + 1)]
-        out += [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return sorted(out)
-
-
-def narrowed(name: str, side: str, l1: int, l2: int, starts, sizes, shifts):
-    """The narrower keys of one entry: (starts, sizes, shifts, text) with one more piece."""
-    k, d = _allowed(l1, l2), l2 - l1
-    shift_of = dict(zip(starts, shifts, strict=True))
-    anchors = sorted(zip(starts, sizes, strict=True))
-    for s, m in _rest_pieces(l1, k, starts, sizes):
-        if side == "a":
-            yield [*starts, s], [*sizes, m], [*shifts, 0], name[s : s + m]
-            continue
-        # unchanged pieces keep their order and do not overlap
-        low = max([shift_of[a] + a + z for a, z in anchors if a < s], default=0) - s
-        high = min([shift_of[a] + a for a, _ in anchors if a > s], default=l2) - m - s
-        for shift in range(max(low, -((k - d) // 2)), min(high, (k + d) // 2) + 1):
-            at = s + shift
-            yield [*starts, s], [*sizes, m], [*shifts, shift], name[at : at + m]
-
-
-def _narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        out = []
-        for r in rows.itertuples(index=False):
-            more = list(narrowed(r.name, r.side, r.l1, r.l2, list(r.starts), list(r.sizes), list(r.shifts)))
-            out += [(r.name, r.cand, r.side, r.l1, r.l2, a, b, c, r.key, t, True) for a, b, c, t in more]
-        yield pd.DataFrame(
-            out, columns=["name", "cand", "side", "l1", "l2", "starts", "sizes", "shifts", "old", "text", "more"]
+    def drop(text, i):
+        return F.concat(F.substr(text, F.lit(1), i), F.substr(text, i + 2, F.length(text)))
+
+    places = F.sequence(F.lit(0), n - 1)
+    one = F.transform(places, lambda i: drop(name, i))
+    two = F.flatten(
+        F.transform(
+            F.filter(places, lambda i: i > 0),
+            lambda i: F.transform(F.sequence(F.lit(0), i - 1), lambda j: drop(drop(name, i), j)),
         )
+    )
+    return F.array_distinct(F.when(count == 0, F.array(name)).when(count == 1, one).otherwise(two))
 
 
-_NARROW_SCHEMA = (
-    "name string, cand boolean, side string, l1 int, l2 int, starts array<int>, sizes array<int>, "
-    "shifts array<int>, old bigint, text string, more boolean"
-)
+def _taken(l1: Column, l2: Column) -> tuple[Column, Column]:
+    """Letters to take out of the shorter and of the longer name."""
+    a = _div(max_edits(l1, l2) - (l2 - l1), F.lit(2))
+    return a, a + l2 - l1
 
 
-def _matches(keys: DataFrame) -> DataFrame:
-    a = keys.filter("side = 'a'").select("key", "l1", "l2", F.col("name").alias("a"), F.col("cand").alias("ca"))
-    b = keys.filter("side = 'b'").select("key", "l1", "l2", F.col("name").alias("b"), F.col("cand").alias("cb"))
+def _deletion_keys(rows: DataFrame, side: int) -> DataFrame:
+    l1, l2 = F.col("l1"), F.col("l2")
+    texts = _without(F.col("name"), _taken(l1, l2)[side])
+    return rows.select(
+        "name", "cand", F.explode(F.transform(texts, lambda t: F.xxhash64(l1, l2, t))).alias("key")
+    )
+
+
+def _deletion_matches(todo: DataFrame, names: DataFrame) -> DataFrame:
+    short = todo.repartition("name").withColumn("l1", F.length("name"))
+    shapes = short.select("l1", "l2").distinct()
+    return _matches(_deletion_keys(short, 0), _deletion_keys(_shaped(names, shapes), 1))
+
+
+# ---- pairs ----
+
+
+def _matches(a: DataFrame, b: DataFrame) -> DataFrame:
+    x = a.select("key", F.col("name").alias("a"), F.col("cand").alias("ca"))
+    y = b.select("key", F.col("name").alias("b"), F.col("cand").alias("cb"))
+    k = max_edits(F.length("a"), F.length("b"))
     # the plain edit distance never exceeds insertions plus deletions: a cheap first test
     return (
-        a.join(b, ["key", "l1", "l2"])
+        x.join(y, "key")
         .filter((F.col("ca") | F.col("cb")) & (F.col("a") != F.col("b")))
-        .filter(F.levenshtein("a", "b") <= max_edits(F.col("l1"), F.col("l2")))
+        .filter(F.levenshtein("a", "b") <= k)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     )
 
 
-def similar_pairs(names: DataFrame, key_pairs: int = KEY_PAIRS, levels: int = MAX_LEVELS) -> DataFrame:
-    """(a, b) with a < b for all similar distinct names of which at least one is ``cand``.
+def similar_pairs(names: DataFrame, partners: int = PARTNERS, cuts: tuple = CUTS) -> DataFrame:
+    """(a, b, lcs) with a < b for all similar distinct names of which at least one is ``cand``.
 
     ``names`` has distinct ``name`` (token-sorted) and boolean ``cand``.
     """
-    keys = first_keys(names)
-    found = None
-    for _ in range(levels):
-        sizes = keys.groupBy("key").agg(
-            F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb")
-        )
-        # enough text must be left for k + 1 more pieces
-        rest = F.col("l1") - F.aggregate("sizes", F.lit(0), lambda x, y: x + y)
-        roomy = rest > max_edits(F.col("l1"), F.col("l2"))
-        hot = checkpoint(
-            sizes.filter(F.col("na") * F.col("nb") > key_pairs).select("key")
-        )
-        if hot.isEmpty():
+    n, l2 = F.length("name"), F.col("l2")
+    k = max_edits(n, l2)
+    few = _taken(n, l2)[1] <= 2
+    todo = (
+        names.filter(n > 0)
+        .select("name", "cand", F.explode(F.sequence(n, _longest(n))).alias("l2"))
+        .filter(k > 0)
+    )
+    found = _deletion_matches(todo.filter(k <= 2), names)
+    todo = todo.filter(k > 2)
+    for step, m in enumerate(cuts):
+        if todo.isEmpty():
             break
-        crowd = keys.join(hot, "key", "left_semi").filter(roomy)
-        calm = keys.join(hot, "key", "left_anti").unionAll(keys.join(hot, "key", "left_semi").filter(~roomy))
-        some = _matches(calm)
-        found = some if found is None else found.unionAll(some)
-        finer = crowd.mapInPandas(_narrow, _NARROW_SCHEMA).select(
-            "name", "cand", "side", "l1", "l2", "starts", "sizes", "shifts",
-            F.xxhash64("old", F.element_at("starts", -1), "text").alias("key"),
+        last = step == len(cuts) - 1
+        if last:
+            found = found.unionAll(_deletion_matches(todo.filter((k <= 4) & few), names))
+            todo = todo.filter((k > 4) | ~few)
+        shapes = todo.select(n.alias("l1"), "l2").distinct()
+        b = checkpoint(longer_pieces(names, shapes, m))
+        plan = checkpoint(
+            _partners(shorter_pieces(todo, m), b).withColumn("done", (F.col("cost") <= partners) | F.lit(last))
         )
-        keys = checkpoint(finer)
-    last = _matches(keys)
-    pairs = (last if found is None else found.unionAll(last)).distinct()
+        a = plan.filter("done").select("name", "cand", F.explode("use.key").alias("key"))
+        found = found.unionAll(_matches(a, b))
+        todo = plan.filter("NOT done").select("name", "cand", "l2")
     return (
-        pairs.withColumn("lcs", lcs_udf("a", "b"))
+        found.distinct()
+        .withColumn("lcs", lcs_udf("a", "b"))
         .filter(is_similar(F.col("lcs"), F.length("a"), F.length("b")))
         .select("a", "b", "lcs")
     )

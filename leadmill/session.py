@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,29 +17,43 @@ def local_session(cores: str = "*", shuffle: int = 8, app: str = "leadmill") ->
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def cut_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; all executors share it.
 
-    Only where that setting is absent (tests on one machine) a folder is made here.
-    Executor loss cannot lose the result, and the lineage before it is gone.
+    Only where that setting is absent and Spark runs on one machine (tests) one is made.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get(
-            "spark.checkpoint.dir", None
-        )
-        if not named and not sc.master.startswith("local"):
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    named = named or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="leadmill-ckpt-"))
-    return df.checkpoint(eager=True)
+        named = tempfile.mkdtemp(prefix="leadmill-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Executor loss cannot lose the result, the lineage before it is gone, and later plans see
+    its true size. (Dataset.checkpoint keeps the filter constraints of the old plan, which
+    grow from round to round in a loop.)
+    """
+    spark = df.sparkSession
+    path = f"{cut_folder(spark).rstrip('/')}/leadmill-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
