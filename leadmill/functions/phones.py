@@ -27,30 +27,41 @@ def _dialled(raw: Column) -> Column:
     return F.when(t.rlike(r"^\+?[0-9][0-9 ().\-/]*$"), t).otherwise("")
 
 
-def to_e164(raw: Column | str, region: Column | str, plans: dict | None = None) -> Column:
-    """E.164 form of a valid number, else NULL; never a guess."""
-    plans = plans or lx.PHONE_PLANS
-    reg = _col(region)
+def dialled(raw: Column | str) -> Column:
+    """struct<world, digits>: whether it starts with +, and its digits."""
     text = _dialled(_col(raw))
-    digits = F.regexp_replace(text, "[^0-9]", "")
-    world = text.startswith("+")
-    out = F.lit(None).cast("string")
-    seen = set()
+    return F.struct(
+        text.startswith("+").alias("world"), F.regexp_replace(text, "[^0-9]", "").alias("digits")
+    )
+
+
+def number_of(parts: Column, region: Column | str, plans: dict | None = None) -> Column:
+    """E.164 form of a dialled number that is valid under its numbering plan, else NULL."""
+    plans = plans or lx.PHONE_PLANS
+    world, digits, reg = parts["world"], parts["digits"], _col(region)
+    forms = {}
     for name, (code, trunk, pattern) in plans.items():
-        # with a country code: optional trunk prefix behind it
+        # behind the country code an optional trunk 0; at home an optional trunk prefix,
+        # or the country code without a plus
         full = rf"^{code}(?:{trunk if trunk == '0' else ''})?({pattern})$"
-        if code not in seen:
-            seen.add(code)
-            found = F.regexp_extract(digits, full, 1)
-            out = F.when(world & (found != ""), F.concat(F.lit("+" + code), found)).otherwise(out)
-        # national: optional trunk prefix, or the country code without a plus
-        local = F.regexp_extract(digits, rf"^(?:{trunk})?({pattern})$", 1)
-        coded = F.regexp_extract(digits, full, 1)
-        nsn = F.when(local != "", local).otherwise(coded)
-        out = F.when(~world & (reg == name) & (nsn != ""), F.concat(F.lit("+" + code), nsn)).otherwise(out)
+        local = rf"^(?:{trunk})?({pattern})$"
+        forms.setdefault(code, [full, []])[1].append((name, local))
+    out = F.lit(None).cast("string")
+    for code, (full, homes) in forms.items():
+        coded = F.concat(F.lit("+" + code), F.regexp_extract(digits, full, 1))
+        out = F.when(world & digits.rlike(full), coded).otherwise(out)
+        for name, local in homes:
+            home = ~world & (reg == name)
+            near = F.concat(F.lit("+" + code), F.regexp_extract(digits, local, 1))
+            out = F.when(home & digits.rlike(local), near).when(home & digits.rlike(full), coded).otherwise(out)
     return out
 
 
+def to_e164(raw: Column | str, region: Column | str, plans: dict | None = None) -> Column:
+    """E.164 form of a valid number, else NULL; never a guess."""
+    return number_of(dialled(raw), region, plans)
+
+
 def phone_kind(e164: Column | str) -> Column:
     """toll_free, mobile, fixed_line or fixed_line_or_mobile for a valid number."""
     num = _col(e164)

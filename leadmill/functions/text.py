@@ -21,9 +21,10 @@ def _col(c: Column | str) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
+    out = c
     for ref, ch in ENTITIES:
-        c = F.replace(c, F.lit(ref), F.lit(ch))
-    return c
+        out = F.replace(out, F.lit(ref), F.lit(ch))
+    return F.when(c.contains("&"), out).otherwise(c)
 
 
 def html_blocks(html: Column | str) -> Column:
@@ -81,18 +82,28 @@ def title_case(c: Column | str) -> Column:
 
 
 def meta_content(html: Column | str, attribute: str, value: str) -> Column:
-    """content of the first <meta attribute="value">, either attribute order; NULL if empty."""
+    """Raw content of the first <meta attribute="value">, either attribute order, '' if none."""
     h = _col(html)
     q = r"""["']"""
     body = r"""["']([^"'>]*)["']"""
     key = rf"{attribute}\s*=\s*{q}{value}{q}"
-    one = F.regexp_extract(h, rf"(?is)<meta\b[^>]*{key}[^>]*content\s*=\s*{body}", 1)
-    two = F.regexp_extract(h, rf"(?is)<meta\b[^>]*content\s*=\s*{body}[^>]*{key}", 1)
-    text = F.trim(decode_entities(F.when(one != "", one).otherwise(two)), F.lit(WHITE))
-    return F.when(text != "", text)
+    return F.concat(
+        F.regexp_extract(h, rf"(?is)<meta\b[^>]*{key}[^>]*content\s*=\s*{body}", 1),
+        F.regexp_extract(h, rf"(?is)<meta\b[^>]*content\s*=\s*{body}[^>]*{key}", 1),
+    )
 
 
 def page_title(html: Column | str) -> Column:
-    raw = F.regexp_extract(_col(html), r"(?is)<title\b[^>]*>(.*?)</title", 1)
-    text = F.trim(decode_entities(raw), F.lit(WHITE))
-    return F.when(text != "", text)
+    return F.regexp_extract(_col(html), r"(?is)<title\b[^>]*>(.*?)</title", 1)
+
+
+def head_texts(html: Column | str) -> Column:
+    """[title, description, og description, twitter description, site name], decoded; '' if absent."""
+    raw = F.array(
+        page_title(html),
+        meta_content(html, "name", "description"),
+        meta_content(html, "property", "og:description"),
+        meta_content(html, "name", "twitter:description"),
+        meta_content(html, "property", "og:site_name"),
+    )
+    return F.transform(raw, lambda x: F.trim(decode_entities(x), F.lit(WHITE)))

@@ -78,8 +78,8 @@ def claim_emails(contacts: DataFrame, emails: DataFrame) -> DataFrame:
     )
     free = first_k(
         free.join(wanted, ["company_id", "box"], "left_semi"),
-        ["company_id", "box"], [F.col("phase"), F.col("seq")], lx.MAX_EMAILS,
-    )
+        ["company_id", "box"], [F.col("phase"), F.col("seq")], lx.MAX_EMAILS, "turn",
+    ).drop("turn")
     pairs = new.join(free, ["company_id", "box"]).groupBy("company_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "phase", "seq", "email"))).alias("pairs")
     )

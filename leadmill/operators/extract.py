@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from leadmill import lexicons as lx
 from leadmill.functions import normalize as nz
-from leadmill.functions.phones import region_for, to_e164
+from leadmill.functions.phones import dialled, number_of, region_for
 from leadmill.functions.text import (
-    deobfuscate, html_blocks, meta_content, page_title, percent_decode, title_case,
+    deobfuscate, head_texts, html_blocks, percent_decode, title_case,
 )
 from leadmill.operators.crawl import anchors
 from leadmill.operators.ranking import first_k
@@ -36,6 +36,7 @@ def prepare(pages: DataFrame) -> DataFrame:
             "lines": F.filter(F.transform(lines, lambda x: F.trim(x, F.lit(" \t\r\n"))), lambda x: x != ""),
             "links": anchors("html"),
             "region": region_for("country"),
+            "head": F.when(F.col("path") == "/", head_texts("html")),
         }
     ).drop("_blocks")
 
@@ -98,7 +99,8 @@ def page_phones(html="html", text="text", region="region") -> Column:
         F.regexp_extract_all(F.col(html), F.lit(lx.TEL_TARGET), F.lit(1)), percent_decode
     )
     written = F.regexp_extract_all(F.col(text), F.lit(lx.PHONE_IN_TEXT), F.lit(0))
-    numbers = F.transform(F.concat(linked, written), lambda p: to_e164(p, F.col(region)))
+    parts = F.transform(F.concat(linked, written), dialled)
+    numbers = F.transform(parts, lambda p: number_of(p, F.col(region)))
     return F.array_distinct(F.filter(numbers, lambda p: p.isNotNull()))
 
 
@@ -120,11 +122,14 @@ def social_page(href: Column, network: str) -> Column:
 
 def _socials() -> Column:
     likely = F.filter("links", lambda a: a["href"].rlike(r"(?i)(linkedin|facebook|instagram|twitter|x|youtube)\.com/"))
-    each = [
-        F.transform(likely, lambda a, i, n=n: _signal("social", F.lit(n), note=social_page(a["href"], n), pos=i))
-        for n in lx.SOCIAL
-    ]
-    return F.filter(F.concat(*each), lambda s: s["note"].isNotNull())
+
+    def pages_on(network):
+        return F.transform(
+            likely,
+            lambda a, i: _signal("social", F.lit(network), note=social_page(a["href"], network), pos=i),
+        )
+
+    return F.filter(F.concat(*[pages_on(n) for n in lx.SOCIAL]), lambda s: s["note"].isNotNull())
 
 
 # ---- years, ownership, hiring, technology ----
@@ -166,31 +171,27 @@ def _hiring() -> Column:
 
 
 def _technology() -> Column:
-    def used(marks):
-        hit = F.lit(False)
-        for m in marks:
-            hit = hit | F.col("html").contains(m)
-        return hit
-
-    return F.concat(
-        *[
-            _one("tech", F.when(used(marks), name), pos=F.lit(i))
-            for i, (name, (marks, _)) in enumerate(lx.TECHNOLOGIES.items())
-        ]
-    )
+    # one SQL text instead of a hundred column calls
+    def quoted(text):
+        return "'" + text.replace("'", "''") + "'"
+
+    items = [
+        "named_struct('kind', 'tech', 'value', CASE WHEN {} THEN {} END, 'note', CAST(NULL AS STRING), "
+        "'first', 0L, 'pos', {})".format(" OR ".join(f"contains(html, {quoted(m)})" for m in marks), quoted(name), i)
+        for i, (name, (marks, _)) in enumerate(lx.TECHNOLOGIES.items())
+    ]
+    return F.expr(f"filter(array({', '.join(items)}), s -> s.value IS NOT NULL)")
 
 
 def _meta() -> Column:
-    home = F.col("path") == "/"
-    desc = F.coalesce(
-        meta_content("html", "name", "description"),
-        meta_content("html", "property", "og:description"),
-        meta_content("html", "name", "twitter:description"),
-    )
+    def text(*places):
+        found = F.filter(F.array(*[F.get("head", F.lit(i)) for i in places]), lambda x: x != "")
+        return F.get(found, F.lit(0))
+
     return F.concat(
-        _one("title", F.when(home, F.substring(page_title("html"), 1, 200))),
-        _one("description", F.when(home, F.substring(desc, 1, 500))),
-        _one("site_name", F.when(home, meta_content("html", "property", "og:site_name"))),
+        _one("title", F.substring(text(0), 1, 200)),
+        _one("description", F.substring(text(1, 2, 3), 1, 500)),
+        _one("site_name", text(4)),
     )
 
 

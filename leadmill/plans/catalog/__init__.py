@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ["scoring", "leads"]
+TOPICS = ["scoring", "leads", "normalize", "crawl", "extract"]
 
 
 def load() -> None:
