@@ -35,15 +35,23 @@ def parse_number(c: Column | str) -> Column:
     return (F.regexp_extract(t, pattern, 1).try_cast("double") * factor).try_cast("bigint")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def host_of(c: Column | str) -> Column:
     """Host of a URL, bare host, address or mailto: text; NULL if there is none."""
-    t = F.lower(F.regexp_replace(_col(c), r"^\s+|\s+$", ""))
-    t = F.regexp_replace(t, r"^mailto:", "")
-    t = F.when(t.contains("@") & ~t.contains("/"), F.substring_index(t, "@", -1)).otherwise(t)
-    netloc = F.regexp_extract(t, r"^(?:[a-z][a-z0-9+.-]*://)?([^/?#]*)", 1)
-    host = F.regexp_replace(F.substring_index(netloc, "@", -1), r":.*$", "")
-    host = F.regexp_replace(host, r"^\.+|\.+$", "")
-    return F.when((host != "") & ~host.rlike(r"\s"), host)
+
+    def host(t):
+        bare = F.when(t.contains("@") & ~t.contains("/"), F.substring_index(t, "@", -1)).otherwise(t)
+        netloc = F.regexp_extract(bare, r"^(?:[a-z][a-z0-9+.-]*://)?([^/?#]*)", 1)
+        named = F.regexp_replace(F.substring_index(netloc, "@", -1), r":.*$", "")
+        return F.regexp_replace(named, r"^\.+|\.+$", "")
+
+    text = F.lower(F.regexp_replace(_col(c), r"^\s+|\s+$", ""))
+    found = let(F.regexp_replace(text, r"^mailto:", ""), host)
+    return let(found, lambda h: F.when((h != "") & ~h.rlike(r"\s"), h))
 
 
 def canonical_domain(
@@ -52,12 +60,14 @@ def canonical_domain(
     pairs=tuple(lx.TWO_LABEL_SUFFIXES),
 ) -> Column:
     """Registrable domain: the public suffix plus one label, else NULL."""
-    host = host_of(c)
-    last = F.substring_index(host, ".", -1)
-    last2 = F.substring_index(host, ".", -2)
-    known = last.rlike("^[a-z]{2}$") | one_of(last, tlds)
-    keep = F.when(one_of(last2, pairs), F.substring_index(host, ".", -3)).otherwise(last2)
-    return F.when(known & ~one_of(keep, pairs) & keep.rlike(r"^[^.]+\.[^.]"), keep)
+
+    def registrable(h):
+        last, last2 = F.substring_index(h, ".", -1), F.substring_index(h, ".", -2)
+        known = last.rlike("^[a-z]{2}$") | one_of(last, tlds)
+        keep = F.when(one_of(last2, pairs), F.substring_index(h, ".", -3)).otherwise(last2)
+        return F.when(known & ~one_of(keep, pairs) & keep.rlike(r"^[^.]+\.[^.]"), keep)
+
+    return let(host_of(c), registrable)
 
 
 def website_url(domain: Column | str) -> Column:
@@ -120,10 +130,8 @@ def sorted_tokens(c: Column | str) -> Column:
 
 def lead_domain(website: Column | str, email: Column | str) -> Column:
     """Own domain, else the e-mail's domain unless that is a free-mail host."""
-    from_mail = canonical_domain(email)
-    return F.coalesce(
-        canonical_domain(website), F.when(~one_of(from_mail, lx.FREE_MAIL), from_mail)
-    )
+    from_mail = let(canonical_domain(email), lambda d: F.when(~one_of(d, lx.FREE_MAIL), d))
+    return F.coalesce(canonical_domain(website), from_mail)
 
 
 def lead_name(name: Column | str, domain: Column | str) -> Column:

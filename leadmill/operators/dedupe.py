@@ -24,7 +24,7 @@ def candidates(raw: DataFrame) -> DataFrame:
         {c: F.lit(None).cast(t) for c, t in RAW_FIELDS.items() if c not in raw.columns}
     )
     out = out.withColumn("explicit_domain", nz.canonical_domain("website"))
-    out = out.withColumn("domain", nz.lead_domain("website", "email"))
+    out = out.withColumn("domain", F.coalesce("explicit_domain", nz.lead_domain(F.lit(None).cast("string"), "email")))
     out = out.withColumn("name", nz.lead_name("name", "domain"))
     return out.withColumn("name_key", nz.company_name_key("name"))
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ["scoring", "leads", "normalize", "crawl", "extract"]
+TOPICS = ["scoring", "leads", "normalize", "crawl", "extract", "imports", "streams"]
 
 
 def load() -> None:

@@ -80,7 +80,7 @@ def header_table(looks: DataFrame) -> DataFrame:
     """(file, pos, header) with quotes removed."""
     bar = F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))
     cells = looks.select("file", F.posexplode(F.split("header", bar)).alias("pos", "cell"))
-    bare = F.regexp_replace(F.trim("cell"), '^"|"$', "")
+    bare = F.regexp_replace("cell", '^"|"$', "")
     return cells.select("file", "pos", F.replace(bare, F.lit('""'), F.lit('"')).alias("header"))
 
 
