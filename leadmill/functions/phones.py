@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadmill import lexicons as lx
+from leadmill.functions.normalize import let
 
 
 def _col(c: Column | str) -> Column:
@@ -29,9 +30,11 @@ def _dialled(raw: Column) -> Column:
 
 def dialled(raw: Column | str) -> Column:
     """struct<world, digits>: whether it starts with +, and its digits."""
-    text = _dialled(_col(raw))
-    return F.struct(
-        text.startswith("+").alias("world"), F.regexp_replace(text, "[^0-9]", "").alias("digits")
+    return let(
+        _dialled(_col(raw)),
+        lambda t: F.struct(
+            t.startswith("+").alias("world"), F.regexp_replace(t, "[^0-9]", "").alias("digits")
+        ),
     )
 
 
@@ -59,7 +62,7 @@ def number_of(parts: Column, region: Column | str, plans: dict | None = None) ->
 
 def to_e164(raw: Column | str, region: Column | str, plans: dict | None = None) -> Column:
     """E.164 form of a valid number, else NULL; never a guess."""
-    return number_of(dialled(raw), region, plans)
+    return let(dialled(raw), lambda parts: number_of(parts, region, plans))
 
 
 def phone_kind(e164: Column | str) -> Column:

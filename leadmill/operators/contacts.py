@@ -12,6 +12,7 @@ from leadmill import lexicons as lx
 from leadmill.functions import normalize as nz
 from leadmill.functions.phones import region_for, to_e164
 from leadmill.operators.ranking import first_k
+from leadmill.session import checkpoint
 
 FIELDS = ["company_id", "phase", "seq", "full_name", "title", "email", "phone_e164", "is_decision_maker", "source"]
 
@@ -142,7 +143,9 @@ def merge_contacts(contacts: DataFrame, found: DataFrame) -> DataFrame:
     people = found.select("company_id", F.posexplode("people").alias("pos", "p")).select("company_id", "pos", "p.*")
     emails = found.select("company_id", F.posexplode("emails").alias("pos", "email"))
     phones = found.filter(F.size("phones") > 0).select("company_id", F.get("phones", F.lit(0)).alias("phone"))
-    return assign_phones(claim_emails(merge_people(contacts, people), emails), phones)
+    # each step reads its input several times: written once, not recomputed
+    named = checkpoint(merge_people(contacts, people))
+    return assign_phones(checkpoint(claim_emails(named, emails)), phones)
 
 
 def mx_answers(addresses: DataFrame, mx: DataFrame) -> DataFrame:

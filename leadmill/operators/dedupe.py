@@ -254,6 +254,8 @@ def fuzzy_decisions(decided: DataFrame, partners: int = PARTNERS) -> DataFrame:
     decided = checkpoint(decided)
     firm, opened = _nodes(decided)
     opened = checkpoint(opened)
+    if opened.isEmpty():
+        return decided
     ends = resolve(candidate_edges(firm, opened, partners))
     groups = opened.join(ends.withColumnRenamed("v", "node"), "node", "left").select(
         F.col("name").alias("g_name"), F.col("place").alias("g_place"), "node", F.col("u").alias("end")

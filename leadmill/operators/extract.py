@@ -330,9 +330,10 @@ def domain_signals(signals: DataFrame) -> DataFrame:
     return cut.filter(keep)
 
 
-def enrichment_rows(pages: DataFrame, this_year: int) -> DataFrame:
-    """One row per domain with everything found on its pages (arrays of fixed maximum size)."""
-    sig = domain_signals(page_signals(pages, this_year))
+def enrichment_rows(pages: DataFrame, this_year: int, only: list[str] | None = None) -> DataFrame:
+    """One row per domain with everything found on its pages (arrays of fixed maximum size);
+    ``only`` limits the extractors that run."""
+    sig = domain_signals(page_signals(pages, this_year, only))
 
     def listed(kind: str, item: Column) -> Column:
         got = F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", item.alias("item"))))

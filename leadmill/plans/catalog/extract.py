@@ -118,7 +118,7 @@ HIRING_SQL = lx.HIRING.replace("'", "''")
   regexp_extract(text, '{HIRING_SQL}') AS m, regexp_matches(html, '{lx.JOB_BOARD}') AS board FROM t)
 SELECT domain, coalesce(bool_or(regexp_matches(path, '{lx.CAREERS_PATH}')), false) AS careers_page, {first_per_domain('m')} AS phrase, bool_or(board) AS board FROM h GROUP BY domain""")
 def hiring_signals(spark, sf):
-    e = ex.enrichment_rows(site_pages(spark, sf), YEAR)
+    e = ex.enrichment_rows(site_pages(spark, sf), YEAR, ["hiring"])
     quoted = F.get(F.filter("hiring_evidence", lambda x: x.startswith('"')), F.lit(0))
     return e.select("domain", F.array_contains("hiring_evidence", "careers page").alias("careers_page"),
                     F.regexp_replace(quoted, '"', "").alias("phrase"), F.array_contains("hiring_evidence", "job board link").alias("board"))
@@ -133,7 +133,7 @@ TECH_SQL = " UNION ALL ".join(
 @query("tech_stack", f"""{PAGES}, f AS ({TECH_SQL}), d AS (SELECT domain, product, bool_or(modern) AS modern, min(seq * 100 + pos) AS o FROM f GROUP BY 1, 2)
 SELECT domain, string_agg(product, ', ' ORDER BY o) AS stack, bool_or(modern) AS modern FROM d GROUP BY domain""")
 def tech_stack(spark, sf):
-    e = ex.enrichment_rows(site_pages(spark, sf), YEAR).filter(F.size("tech_stack") > 0)
+    e = ex.enrichment_rows(site_pages(spark, sf), YEAR, ["tech_stack"]).filter(F.size("tech_stack") > 0)
     return e.select("domain", F.array_join("tech_stack", ", ").alias("stack"), F.col("modern_stack").alias("modern"))
 
 
@@ -158,7 +158,7 @@ def people(spark, sf):
 @query("page_people", f"""{PAGES} SELECT domain, name, title, leader FROM (VALUES ('John Smith', 'Owner', true), ('Maria Garcia', 'Office Manager', false), ('Robert Brown', 'Founder & CEO', true)) v(name, title, leader),
   (SELECT DISTINCT domain FROM t WHERE seq % 13 = 10)""")
 def page_people(spark, sf):
-    e = ex.enrichment_rows(site_pages(spark, sf), YEAR)
+    e = ex.enrichment_rows(site_pages(spark, sf), YEAR, ["people"])
     return e.select("domain", F.explode("people").alias("p")).select(
         "domain", F.col("p.full_name").alias("name"), F.col("p.title").alias("title"), F.col("p.is_decision_maker").alias("leader"))
 

@@ -77,7 +77,7 @@ def run_import(raw: DataFrame, companies: DataFrame, contacts: DataFrame, import
         "email", F.col("phone").alias("phone_e164"), F.col("linkedin").alias("linkedin_url"),
         F.lit(False).alias("is_decision_maker"), F.lit("csv").alias("source"),
     )
-    return Imported(merged, up.insert_contacts(contacts, seeds), decided)
+    return Imported(checkpoint(merged), checkpoint(up.insert_contacts(contacts, seeds)), decided)
 
 
 def process_companies(companies: DataFrame, contacts: DataFrame, pages: DataFrame, sites: DataFrame, mx: DataFrame,
@@ -93,8 +93,8 @@ def process_companies(companies: DataFrame, contacts: DataFrame, pages: DataFram
     enriched = ex.apply_enrichment(companies, found, sites, now)
     mine = found.join(places, "domain").select("company_id", "people", "emails", "phones")
     mine = mine.withColumn("people", F.coalesce("people", F.array().cast(found.schema["people"].dataType)))
-    merged = ct.merge_contacts(contacts, mine)
-    checked = ct.validate_contacts(merged, mx, companies)
+    merged = checkpoint(ct.merge_contacts(contacts, mine))
+    checked = checkpoint(ct.validate_contacts(merged, mx, companies))
     # one order over known and found contacts for every "first contact" rule
     checked = checked.withColumn("seq", F.col("phase").cast("bigint") * F.lit(1 << 50) + F.col("seq"))
     scored = sc.score_leads(sc.lead_facts(enriched, checked), profile, as_of_year)
