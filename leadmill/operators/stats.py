@@ -58,12 +58,11 @@ def distribution(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     )
 
 
-def distribution_map(df: DataFrame, column: str) -> DataFrame:
-    """One row with a map value -> count, empty when there are no rows."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    return counts.agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(column), F.col("n"))))).alias("counts")
-    )
+def distribution_map(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """One row with a map value -> count of the expected values that occur, else empty."""
+    counts = df.agg(*[F.count_if(F.col(column) == v).alias(v) for v in values])
+    pairs = F.array(*[F.struct(F.lit(v).alias("key"), F.col(v).alias("value")) for v in values])
+    return counts.select(F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0)).alias("counts"))
 
 
 # ---- imports --------------------------------------------------------------

@@ -255,11 +255,11 @@ def stage_distribution(spark, sf):
     return st.distribution(company(spark, sf), "stage", lx.STAGES)
 
 
-@query("industry_counts_map", f"""{mart.with_views(mart_company=mart.COMPANY)}
-SELECT string_agg(industry || '=' || n, ',' ORDER BY industry) AS counts FROM (
-  SELECT industry, count(*) AS n FROM mart_company GROUP BY industry)""")
-def industry_counts_map(spark, sf):
-    m = st.distribution_map(company(spark, sf), "industry")
+@query("website_counts_map", f"""{mart.with_views(mart_company=mart.COMPANY)}
+SELECT string_agg(website_status || '=' || n, ',' ORDER BY website_status) AS counts FROM (
+  SELECT website_status, count(*) AS n FROM mart_company WHERE website_status IS NOT NULL GROUP BY website_status)""")
+def website_counts_map(spark, sf):
+    m = st.distribution_map(company(spark, sf), "website_status", lx.WEBSITE_STATES)
     text = F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return m.select(F.array_join(F.array_sort(text), ",").alias("counts"))
 

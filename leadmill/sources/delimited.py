@@ -1,11 +1,16 @@
 """Delimited lead files of any encoding, delimiter and header, many files at a time.
 
-Every file is one import. Headers are read from a first look at each file; files of equal
-shape are then read together by Spark's own CSV reader.
+Every file is one import. Encoding, delimiter and header mapping are found per file by column
+expressions; its records are then read in the same task.
 """
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +18,6 @@ from leadmill import lexicons as lx
 from leadmill.functions.normalize import blank_to_null, parse_number
 
 FIELDS = list(lx.HEADER_SYNONYMS)
-MAX_SHAPES = 10_000
 HEAD_BYTES = 1 << 20
 
 
@@ -58,7 +62,7 @@ def infer_delimiter(line: Column) -> Column:
 
 
 def first_looks(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, encoding, delimiter, header): one row per file.
+    """(file, bytes, encoding, delimiter, header, content): one row per file.
 
     Whole contents are only touched to test the encoding, inside the scan task.
     """
@@ -73,15 +77,22 @@ def first_looks(spark: SparkSession, path: str) -> DataFrame:
         F.when(utf8, "UTF-8").otherwise("ISO-8859-1").alias("encoding"),
         infer_delimiter(line).alias("delimiter"),
         line.alias("header"),
+        "content",
     )
 
 
-def header_table(looks: DataFrame) -> DataFrame:
-    """(file, pos, header) with quotes removed."""
+def header_cells() -> Column:
+    """Cells of the header line, quotes removed."""
     bar = F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))
-    cells = looks.select("file", F.posexplode(F.split("header", bar)).alias("pos", "cell"))
-    bare = F.regexp_replace("cell", '^"|"$', "")
-    return cells.select("file", "pos", F.replace(bare, F.lit('""'), F.lit('"')).alias("header"))
+    return F.transform(
+        F.split("header", bar),
+        lambda c: F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"')),
+    )
+
+
+def header_table(looks: DataFrame) -> DataFrame:
+    """(file, pos, header)."""
+    return looks.select("file", F.posexplode(header_cells()).alias("pos", "header"))
 
 
 def file_report(looks: DataFrame, mapped: DataFrame, max_bytes: int | None = None) -> DataFrame:
@@ -126,48 +137,60 @@ def skip_nameless(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(~lost), counts.withColumn("warning", F.when(F.col("skipped") > 0, text))
 
 
+def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records of whole files, in file order; blank lines do not count as records."""
+    columns = ["file", "row_number", *FIELDS]
+    for files in batches:
+        for f in files.itertuples(index=False):
+            text = bytes(f.content).decode("utf-8-sig" if f.encoding == "UTF-8" else "latin-1")
+            places = [(i, name) for i, name in enumerate(f.fields) if name is not None]
+            number, rows = 0, []
+            for cells in csv.reader(io.StringIO(text, newline=""), delimiter=f.delimiter):
+                if not cells:
+                    continue
+                number += 1
+                if number == 1:
+                    continue
+                row = dict.fromkeys(columns)
+                row.update({name: cells[i] for i, name in places if i < len(cells)}, file=f.file, row_number=number)
+                rows.append(row)
+                if len(rows) == 10_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+
+
 def read_leads(spark: SparkSession, path: str, max_bytes: int | None = None,
                max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(lead rows, file report) of all files below ``path``.
+    """(lead rows, file report) of all files below ``path``, rows numbered from 2.
 
-    The size and row limits of an interactive upload are off unless given; a file over the
-    row limit is rejected whole. Rows are numbered from 2 in file order; Spark never splits
-    multi-line files, so the order inside a file is that of its one partition.
+    A file is read whole by one task, as quoted line breaks demand, and its header mapping is
+    worked out in the same row, so neither contents nor file names pass through a shuffle or
+    the driver. The size and row limits of an interactive upload are off unless given; a file
+    over the row limit is rejected whole.
     """
     looks = first_looks(spark, path)
-    report = file_report(looks, map_headers(header_table(looks)), max_bytes)
-    shapes = report.filter("error IS NULL").groupBy("encoding", "delimiter", "header").agg(
-        F.collect_list("file").alias("files")
+    report = file_report(looks.drop("content"), map_headers(header_table(looks)), max_bytes)
+    named = looks.withColumn("cells", F.transform(header_cells(), header_field))
+    fields = F.transform(
+        "cells", lambda f, i: F.when(F.array_position(F.col("cells"), f) == i + 1, f)
+    )
+    usable = F.array_contains("cells", "domain") | F.array_contains("cells", "name")
+    if max_bytes is not None:
+        usable = usable & (F.col("bytes") <= max_bytes)
+    files = named.filter(F.coalesce(usable, F.lit(False))).select(
+        "file", "encoding", "delimiter", fields.alias("fields"), "content"
     )
-    groups = shapes.limit(MAX_SHAPES + 1).collect()  # reading plans need the distinct headers
-    if len(groups) > MAX_SHAPES:
-        raise ValueError(f"more than {MAX_SHAPES} different headers; split the folder")
-    out = None
-    for g in groups:
-        one = spark.createDataFrame([("", g.delimiter, g.header)], "file string, delimiter string, header string")
-        names = map_headers(header_table(one)).filter("field IS NOT NULL").select("pos", "field").collect()
-        wide = len(header_table(one).collect())
-        rows = (
-            spark.read.option("header", "true").option("sep", g.delimiter).option("multiLine", "true")
-            .option("encoding", g.encoding).option("quote", '"').option("escape", '"').option("enforceSchema", "true")
-            .schema(", ".join(f"c{i} string" for i in range(wide))).csv(list(g.files))
-        )
-        rows = rows.select(
-            F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"),
-            *[F.col(f"c{n.pos}").alias(n.field) for n in names],
-        )
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    if out is None:
-        out = spark.createDataFrame([], "file string, at bigint")
-    first = out.groupBy("file").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    numbered = out.join(first, "file").withColumn("row_number", F.col("at") - F.col("first") + 2)
+    schema = "file string, row_number bigint, " + ", ".join(f"{f} string" for f in FIELDS)
+    rows = files.mapInPandas(_records, schema)
     if max_rows is not None:
-        over = first.filter(F.col("n") > max_rows).select("file")
-        numbered = numbered.join(over, "file", "left_anti")
+        over = rows.groupBy("file").count().filter(F.col("count") > max_rows).select("file")
+        rows = rows.join(over, "file", "left_anti")
         report = report.join(over.withColumn("over", F.lit(True)), "file", "left").withColumn(
             "error", F.when(F.col("over"), "IMPORT_TOO_MANY_ROWS").otherwise(F.col("error"))
         ).drop("over")
-    return typed_rows(numbered), report
+    return typed_rows(rows), report
 
 
 def with_order(rows: DataFrame) -> DataFrame:
