@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions import normalize as nz
 from leadmill.operators.namejoin import PARTNERS, similar_pairs
 from leadmill.operators.ranking import ranked
-from leadmill.session import checkpoint
+from leadmill.session import at_most, checkpoint
 
 RAW_FIELDS = {
     "name": "string", "website": "string", "industry": "string", "email": "string", "phone": "string",
@@ -182,7 +185,32 @@ def candidate_edges(firm: DataFrame, opened: DataFrame, partners: int = PARTNERS
     return edges.filter((~F.col("u_late")) | (F.col("u") < F.col("v")))
 
 
-def resolve(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+REPLAY_EDGES = 200_000
+
+
+def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rule, one open group after the other, for a remainder of proven small size."""
+    rest = [b for b in batches if len(b)]
+    if not rest:
+        return
+    rows = pd.concat(rest).sort_values(["v", "u_late", "u"])
+    ended, city, out = {}, {}, []
+    for v, near in rows.groupby("v", sort=True):
+        ended[v] = None
+        for e in near.itertuples(index=False):
+            if e.u_gone or ended.get(e.u) is not None:
+                continue
+            place = city.get(e.u, e.u_city)
+            if pd.isna(e.v_place) or pd.isna(place) or place == e.v_place:
+                if pd.isna(place) and not pd.isna(e.v_place):
+                    city[e.u] = e.v_place
+                ended[v] = e.u
+                break
+        out.append((v, ended[v]))
+    yield pd.DataFrame(out, columns=["v", "u"]).astype({"v": "int64", "u": "Int64"})
+
+
+def resolve(edges: DataFrame, max_rounds: int = 10_000, replay_edges: int = REPLAY_EDGES) -> DataFrame:
     """(v, u): the keeper each open group ends at, in the order-dependent sense: the first
     earlier kept row that is similar and in the same place at that moment.
 
@@ -190,7 +218,8 @@ def resolve(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     remaining earlier neighbours that does not rule itself out is certainly a match, or none
     remains (then it is kept). A neighbour kept without a place takes the place of its first
     match, so while its place is open only the earliest waiting group may claim it. The
-    earliest unsettled group always settles, so the rounds end.
+    earliest unsettled group always settles, so the rounds end; once no more than
+    ``replay_edges`` edges are left, one task replays them in order.
     """
     state = edges.withColumns(
         {"u_open": F.col("u_late"), "u_gone": F.lit(False), "u_city": F.col("u_place")}
@@ -203,6 +232,9 @@ def resolve(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     state = checkpoint(state)
     done = None
     for _ in range(max_rounds):
+        if at_most(state, replay_edges):
+            tail = checkpoint(state.coalesce(1).mapInPandas(_replay, "v bigint, u bigint"))
+            return tail if done is None else done.unionAll(tail)
         free = ~F.col("u_open") & ~F.col("u_gone") & F.col("u_city").isNull()
         head = state.filter(free & F.col("v_place").isNotNull()).groupBy(F.col("u").alias("h")).agg(
             F.min("v").alias("first")
@@ -244,19 +276,18 @@ def resolve(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
             "u_city", F.coalesce("u_city", "gave")
         ).drop("k", "gave")
         state = checkpoint(left)
-        if state.isEmpty():
-            return done
     raise RuntimeError("name pass did not settle")
 
 
-def fuzzy_decisions(decided: DataFrame, partners: int = PARTNERS) -> DataFrame:
+def fuzzy_decisions(decided: DataFrame, partners: int = PARTNERS,
+                    replay_edges: int = REPLAY_EDGES) -> DataFrame:
     """Complete the decisions: open rows become ``keep`` or ``fuzzy`` with their keeper."""
     decided = checkpoint(decided)
     firm, opened = _nodes(decided)
     opened = checkpoint(opened)
     if opened.isEmpty():
         return decided
-    ends = resolve(candidate_edges(firm, opened, partners))
+    ends = resolve(candidate_edges(firm, opened, partners), replay_edges=replay_edges)
     groups = opened.join(ends.withColumnRenamed("v", "node"), "node", "left").select(
         F.col("name").alias("g_name"), F.col("place").alias("g_place"), "node", F.col("u").alias("end")
     )
@@ -277,9 +308,10 @@ def fuzzy_decisions(decided: DataFrame, partners: int = PARTNERS) -> DataFrame:
     return decided.filter("decision <> 'open'").unionByName(done)
 
 
-def dedupe(raw: DataFrame, companies: DataFrame | None = None, partners: int = PARTNERS) -> DataFrame:
+def dedupe(raw: DataFrame, companies: DataFrame | None = None, partners: int = PARTNERS,
+           replay_edges: int = REPLAY_EDGES) -> DataFrame:
     """The full decision log over raw rows; see merged_leads and contact_seeds for results."""
-    return fuzzy_decisions(exact_decisions(candidates(raw), companies), partners)
+    return fuzzy_decisions(exact_decisions(candidates(raw), companies), partners, replay_edges)
 
 
 def removal_counts(decided: DataFrame) -> DataFrame:
