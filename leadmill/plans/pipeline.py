@@ -73,7 +73,7 @@ def run_import(raw: DataFrame, companies: DataFrame, contacts: DataFrame, import
         F.col("seq").alias("company_seq"), F.coalesce("old_id", "id").alias("company_id")
     )
     seeds = dd.contact_seeds(decided).join(ids, "company_seq").select(
-        "company_id", (F.col("late").cast("bigint") * F.lit(1 << 40) + F.col("seq")).alias("seq"), "full_name", "title",
+        "company_id", (F.col("late").cast("bigint") * F.lit(1 << 58) + F.col("seq")).alias("seq"), "full_name", "title",
         "email", F.col("phone").alias("phone_e164"), F.col("linkedin").alias("linkedin_url"),
         F.lit(False).alias("is_decision_maker"), F.lit("csv").alias("source"),
     )
@@ -96,7 +96,7 @@ def process_companies(companies: DataFrame, contacts: DataFrame, pages: DataFram
     merged = checkpoint(ct.merge_contacts(contacts, mine))
     checked = checkpoint(ct.validate_contacts(merged, mx, companies))
     # one order over known and found contacts for every "first contact" rule
-    checked = checked.withColumn("seq", F.col("phase").cast("bigint") * F.lit(1 << 50) + F.col("seq"))
+    checked = checked.withColumn("seq", F.col("phase").cast("bigint") * F.lit(1 << 60) + F.col("seq"))
     scored = sc.score_leads(sc.lead_facts(enriched, checked), profile, as_of_year)
     facts = [c for c in scored.columns if c.startswith("ct_")]
     return scored.drop(*facts), checked

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadmill import lexicons as lx
-from leadmill.functions.normalize import blank_to_null, parse_number
+from leadmill.functions.normalize import blank_to_null, canonical_domain, parse_number
+from leadmill.session import checkpoint
 
 FIELDS = list(lx.HEADER_SYNONYMS)
 HEAD_BYTES = 1 << 20
@@ -194,12 +195,13 @@ def read_leads(spark: SparkSession, path: str, max_bytes: int | None = None,
 
 
 def with_order(rows: DataFrame) -> DataFrame:
-    """Adds ``seq``, the order of rows over files: file order, then row number."""
-    files = rows.select("file").distinct()
-    rank = files.withColumn("file_no", F.row_number().over(Window.orderBy("file")))
-    return rows.join(rank, "file").withColumn(
-        "seq", F.col("file_no").cast("bigint") * F.lit(1 << 32) + F.col("row_number")
-    ).drop("file_no")
+    """Adds ``seq``, the order of rows over files: by file, then row number.
+
+    Ids grow along the range-sorted partitions; they are written once so that no recomputed
+    partition gets others.
+    """
+    ordered = rows.orderBy("file", "row_number").withColumn("seq", F.monotonically_increasing_id())
+    return checkpoint(ordered)
 
 
 # ---- domain lists ---------------------------------------------------------
@@ -221,8 +223,6 @@ def pasted_domains(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def usable_domains(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries with a registrable domain, dropped count per file with its warning text)."""
-    from leadmill.functions.normalize import canonical_domain
-
     seen = entries.withColumn("domain", canonical_domain("website"))
     bad = F.col("domain").isNull()
     counts = seen.groupBy("file").agg(F.count_if(bad).alias("dropped"), F.count_if(~bad).alias("kept"))

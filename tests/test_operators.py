@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from leadmill.operators import contacts as ct
 from leadmill.operators import crawl as cr
+from leadmill.operators import dedupe as dd
 from leadmill.operators import extract as ex
 from leadmill.operators import leads as ld
 from leadmill.operators import scoring as sc
@@ -152,6 +153,11 @@ def test_read_delimited_files(spark, tmp_path):
     kept, skipped = dl.skip_nameless(rows)
     got = {(r.name, r.website, r.employees, r.revenue, r.row_number) for r in kept.collect()}
     assert got == {("Acme, LLC", "acme.com", 11, 2500000, 2), ("Café", "cafe.io", 8, None, 2)}
+    order = [(r.file, r.row_number) for r in dl.with_order(rows).orderBy("seq").collect()]
+    assert order == sorted(order) and len(order) == 3
+    log = dd.dedupe(dl.with_order(kept))
+    jobs = {r.file.rsplit("/", 1)[1]: r for r in dl.import_jobs(log, report).collect()}
+    assert (jobs["a.csv"].source, jobs["a.csv"].total_rows, jobs["a.csv"].duplicates_removed) == ("vendor_csv", 1, 0)
     rep = {r.file.rsplit("/", 1)[1]: r for r in report.collect()}
     assert rep["a.csv"].source == "vendor_csv" and rep["b.csv"].delimiter == ";" and rep["b.csv"].encoding == "ISO-8859-1"
     assert rep["c.csv"].error == "IMPORT_INVALID_CSV" and rep["d.csv"].error == "IMPORT_INVALID_CSV"
