@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leadmill.llm import bpe_replay, quality_rules, token_counts
+from leadmill.llm import bpe_replay, chat_repair, exact_dedup, packing, pii, quality_crf, quality_rules, simhash, token_counts, token_files
 
 QUERIES = {}
 ORACLES = {}
@@ -20,6 +21,33 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = quality_crf.score(docs, quality_crf.learn(docs, table(spark, folder, "labels")))
+    return scored.select(
+        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score",
+        (F.col("score") >= quality_crf.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.link(table(spark, folder, "documents")).select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.write_and_read(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@query
+def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.deduplicate(table(spark, folder, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
 @query
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -31,6 +59,21 @@ def op6_bpe_replay(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_replay.digests(bpe_replay.encode(table(spark, folder, "documents"), path), path)
 
 
+@query
+def op7_chat_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_repair.format_chats(table(spark, folder, "conversations"))
+
+
+@query
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(table(spark, folder, "documents"))
+
+
 @query
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"))
+
+
+@query
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
