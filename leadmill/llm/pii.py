@@ -107,11 +107,14 @@ def _holds(kind: str, value: Column) -> Column:
 
 def base_spans(frame: DataFrame) -> DataFrame:
     """Adds ``base`` to rows with a text ``t``: array of (start, rank, end), rank being the kind's place in KINDS."""
+    def good(rank: int, kind: str) -> Column:
+        held = F.filter(kind, lambda m: _holds(kind, m["value"]))
+        return F.transform(held, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")))
+
     arrays = []
     for rank, kind in enumerate(KINDS):
         frame = _found(frame, kind, PATTERNS[kind], NEEDS[kind])
-        good = F.filter(F.col(kind), lambda m, k=kind: _holds(k, m["value"]))
-        arrays.append(F.transform(good, lambda m, r=rank: F.struct(m["start"].alias("start"), F.lit(r).alias("rank"), m["end"].alias("end"))))
+        arrays.append(good(rank, kind))
     return frame.withColumn("base", F.sort_array(F.concat(*arrays))).drop(*KINDS)
 
 

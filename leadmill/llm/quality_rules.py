@@ -102,15 +102,13 @@ def limits(rows: DataFrame, cuts: Cuts, spreads: float = SPREADS, min_group: int
             cols.append(F.struct((q1 - reach).alias("low"), (q3 + reach).alias("high")).alias(m))
         return table.select(*keys, F.col("n").alias(f"{prefix}_n"), F.struct(*cols).alias(prefix))
 
-    own, of_lang, of_all = bounds(group, ["lang", "source"], "own"), bounds(lang, ["lang"], "lng"), bounds(whole, [], "all")
-    at = lambda t: t.withColumn("at", F.lit(1))
-    of_lang = of_lang.withColumnRenamed("lang", "l2")
-    return (
-        at(own).join(of_lang, F.col("lang").eqNullSafe(F.col("l2"))).join(F.broadcast(at(of_all)), "at")
-        .select(
-            "lang", "source",
-            F.when(F.col("own_n") >= min_group, F.col("own")).when(F.col("lng_n") >= min_group, F.col("lng")).otherwise(F.col("all")).alias("limit"),
-        )
+    own, of_lang = bounds(group, ["lang", "source"], "own"), bounds(lang, ["lang"], "lng").withColumnRenamed("lang", "l2")
+    total = bounds(whole.where("n > 0"), [], "all").first()  # one row of ten numbers; none without documents
+    total = total["all"] if total else {m: {"low": None, "high": None} for m in MEASURES}
+    of_all = F.struct(*(F.struct(F.lit(total[m]["low"]).cast("double").alias("low"), F.lit(total[m]["high"]).cast("double").alias("high")).alias(m) for m in MEASURES))
+    return own.join(of_lang, F.col("lang").eqNullSafe(F.col("l2"))).select(
+        "lang", "source",
+        F.when(F.col("own_n") >= min_group, F.col("own")).when(F.col("lng_n") >= min_group, F.col("lng")).otherwise(of_all).alias("limit"),
     )
 
 
