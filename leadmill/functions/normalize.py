@@ -54,20 +54,38 @@ def host_of(c: Column | str) -> Column:
     return let(found, lambda h: F.when((h != "") & ~h.rlike(r"\s"), h))
 
 
-def canonical_domain(
-    c: Column | str,
-    tlds=tuple(lx.GENERIC_TLDS),
-    pairs=tuple(lx.TWO_LABEL_SUFFIXES),
-) -> Column:
+def suffix_labels(labels: Column, rules=tuple(lx.SUFFIX_RULES)) -> Column:
+    """How many of the last labels of a host are its public suffix; NULL if none is.
+
+    The longest matching rule wins, an exception beats them all.
+    """
+    n = F.size(labels)
+    tail = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
+    last, second = F.get(labels, n - 1), F.get(labels, n - 2)
+    two = last.rlike("^[a-z]{2}$") & ~one_of(last, lx.DIRECT_CODES) & one_of(second, lx.SECOND_LABELS)
+    found = F.when(two, 2).when(last.rlike("^(?:[a-z]{2,}|xn--[a-z0-9-]+)$") & ~one_of(last, lx.NOT_SUFFIXES), 1)
+    size = lambda rule: rule.count(".") + 1
+    for k in sorted({size(r) for r in rules}):
+        plain = [r for r in rules if size(r) == k and r[0] not in "*!"]
+        if plain:
+            found = F.when((n >= k) & one_of(tail(k), plain), F.greatest(F.lit(k), F.coalesce(found, F.lit(1)))).otherwise(found)
+        wild = [r[2:] for r in rules if size(r) == k and r.startswith("*.")]
+        if wild:
+            found = F.when((n >= k) & one_of(tail(k - 1), wild), F.greatest(F.lit(k), F.coalesce(found, F.lit(1)))).otherwise(found)
+    for k in sorted({size(r) for r in rules if r.startswith("!")}):
+        except_ = [r[1:] for r in rules if r.startswith("!") and size(r) == k]
+        found = F.when((n >= k) & one_of(tail(k), except_), F.lit(k - 1)).otherwise(found)
+    return found
+
+
+def canonical_domain(c: Column | str, rules=tuple(lx.SUFFIX_RULES)) -> Column:
     """Registrable domain: the public suffix plus one label, else NULL."""
 
-    def registrable(h):
-        last, last2 = F.substring_index(h, ".", -1), F.substring_index(h, ".", -2)
-        known = last.rlike("^[a-z]{2}$") | one_of(last, tlds)
-        keep = F.when(one_of(last2, pairs), F.substring_index(h, ".", -3)).otherwise(last2)
-        return F.when(known & ~one_of(keep, pairs) & keep.rlike(r"^[^.]+\.[^.]"), keep)
+    def registrable(labels):
+        keep = let(suffix_labels(labels, rules), lambda k: F.when(k < F.size(labels), F.array_join(F.slice(labels, F.size(labels) - k, k + 1), ".")))
+        return F.when(~F.array_contains(labels, ""), keep)
 
-    return let(host_of(c), registrable)
+    return let(F.split(host_of(c), r"\."), registrable)
 
 
 def website_url(domain: Column | str) -> Column:

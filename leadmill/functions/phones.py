@@ -47,7 +47,7 @@ def number_of(parts: Column, region: Column | str, plans: dict | None = None) ->
         # behind the country code an optional trunk 0; at home an optional trunk prefix,
         # or the country code without a plus
         full = rf"^{code}(?:{trunk if trunk == '0' else ''})?({pattern})$"
-        local = rf"^(?:{trunk})?({pattern})$"
+        local = rf"^(?:{trunk})?({pattern})$" if trunk else rf"^({pattern})$"
         forms.setdefault(code, [full, []])[1].append((name, local))
     out = F.lit(None).cast("string")
     for code, (full, homes) in forms.items():
@@ -66,14 +66,14 @@ def to_e164(raw: Column | str, region: Column | str, plans: dict | None = None)
 
 
 def phone_kind(e164: Column | str) -> Column:
-    """toll_free, mobile, fixed_line or fixed_line_or_mobile for a valid number."""
+    """toll_free, mobile, voip, fixed_line or fixed_line_or_mobile for a valid number."""
     num = _col(e164)
     out = F.lit(None).cast("string")
     for code in dict.fromkeys(plan[0] for plan in lx.PHONE_PLANS.values()):
         nsn = F.substring(num, len(code) + 2, 20)
         kind = F.lit("fixed_line_or_mobile" if code == "1" else "fixed_line")
-        if code in lx.MOBILE:
-            kind = F.when(nsn.rlike(lx.MOBILE[code]), "mobile").otherwise(kind)
-        kind = F.when(nsn.rlike(lx.TOLL_FREE[code]), "toll_free").otherwise(kind)
+        for name, ranges in (("mobile", lx.MOBILE), ("voip", lx.VOIP), ("toll_free", lx.TOLL_FREE)):
+            if code in ranges:
+                kind = F.when(nsn.rlike(ranges[code]), name).otherwise(kind)
         out = F.when(num.startswith("+" + code), kind).otherwise(out)
     return out

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: character references resolved in page text (&amp; last)
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
-    ("&rdquo;", "”"), ("&hellip;", "…"), ("&#64;", "@"), ("&#46;", "."), ("&#124;", "|"),
-    ("&amp;", "&"),
-]
 WHITE = " \t\r\n"
 
 
@@ -20,10 +16,31 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@lru_cache(maxsize=1)
+def _named() -> dict[str, str]:
+    """Named character references, from the standard library's table; a no-break space is a space."""
+    return {f"&{n};": " " if n == "nbsp" else chr(code) for n, code in {**name2codepoint, "apos": 39}.items()}
+
+
+def _numbered(ref: Column) -> Column:
+    """The character of &#n; or &#xn;, NULL if there is none."""
+    digits = F.regexp_extract(ref, "^&#[xX]?([0-9a-fA-F]+);$", 1)
+    code = F.when(ref.rlike("^&#[xX]"), F.conv(F.right(digits, F.lit(8)), 16, 10)).otherwise(F.right(digits, F.lit(9))).try_cast("bigint")
+    code = F.when(code == 160, F.lit(32)).otherwise(code)
+    fits = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    return F.when(fits, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
 def decode_entities(c: Column) -> Column:
-    out = c
-    for ref, ch in ENTITIES:
-        out = F.replace(out, F.lit(ref), F.lit(ch))
+    """Character references to characters, each once (what they give is not read again); unknown ones stay."""
+    named = F.from_json(F.lit(json.dumps(_named())), "map<string,string>")
+
+    def value(ref):
+        return F.coalesce(F.when(ref.startswith("&#"), _numbered(ref)), F.try_element_at(named, ref), ref)
+
+    pattern = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+    refs, parts = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
+    out = F.concat(F.get(parts, F.lit(0)), F.array_join(F.zip_with(refs, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda r, p: F.concat(value(r), p)), ""))
     return F.when(c.contains("&"), out).otherwise(c)
 
 

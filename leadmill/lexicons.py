@@ -17,9 +17,6 @@ HEADER_SYNONYMS = {
     "linkedin": ["linkedin", "linkedin url", "company linkedin", "linkedin profile"],
 }
 DELIMITERS = [",", ";", "\t", "|"]
-SNIFF_CHARS = 4096
-MAX_FILE_BYTES = 5 * 1024 * 1024
-MAX_IMPORT_ROWS = 5000
 VENDOR_FIELDS = ["owner", "email", "industry"]
 BLANK_WORDS = ["", "n/a", "na", "none", "null", "-"]
 
@@ -34,35 +31,23 @@ FREE_MAIL = [
 ]
 FUZZY_PERCENT = 92
 
-# Public suffixes: every two-letter code counts, plus these longer ones and these pairs.
-# A full list can be passed to canonical_domain instead.
-GENERIC_TLDS = [
-    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "aero",
-    "coop", "museum", "jobs", "mobi", "travel", "tel", "cat", "asia", "post", "xxx", "app",
-    "dev", "page", "blog", "shop", "store", "online", "site", "website", "tech", "cloud",
-    "agency", "company", "solutions", "services", "systems", "group", "team", "expert",
-    "consulting", "digital", "media", "studio", "design", "marketing", "finance", "capital",
-    "legal", "law", "health", "care", "clinic", "dental", "plumbing", "construction",
-    "contractors", "builders", "energy", "repair", "cleaning", "garden", "house", "homes",
-    "estate", "properties", "realty", "restaurant", "cafe", "bar", "pizza", "kitchen",
-    "fitness", "yoga", "school", "academy", "training", "education", "university", "live",
-    "life", "world", "global", "international", "network", "zone", "space", "club", "vip",
-    "work", "works", "today", "news", "guide", "tips", "email", "support", "software",
-    "tools", "technology", "engineering", "industries", "supply", "supplies", "parts",
-    "auto", "cars", "bike", "taxi", "boutique", "fashion", "jewelry", "gallery", "photo",
-    "photography", "video", "film", "music", "band", "art", "xyz", "top", "icu", "fun",
+# Public suffixes. Any alphabetic last label is one, but for the names below. Under a country code, the
+# usual second labels belong to the suffix, unless the country registers directly under its code. Further
+# rules are written as in public suffix lists: "*." stands for any label, "!" marks an exception. A full
+# list can be passed to canonical_domain.
+NOT_SUFFIXES = [
+    "arpa", "corp", "example", "home", "internal", "invalid", "lan", "local", "localdomain", "localhost", "onion", "test",
+    "asp", "aspx", "css", "csv", "doc", "docx", "gif", "htm", "html", "jpeg", "jpg", "js", "json", "jsp", "pdf", "php",
+    "png", "svg", "txt", "xls", "xlsx", "xml",
 ]
-TWO_LABEL_SUFFIXES = [
-    "co.uk", "org.uk", "ac.uk", "gov.uk", "ltd.uk", "plc.uk", "me.uk", "net.uk", "sch.uk",
-    "com.au", "net.au", "org.au", "edu.au", "gov.au", "id.au", "co.nz", "net.nz", "org.nz",
-    "ac.nz", "govt.nz", "com.pk", "net.pk", "org.pk", "edu.pk", "gov.pk", "co.in", "net.in",
-    "org.in", "firm.in", "gen.in", "ind.in", "ac.in", "gov.in", "co.za", "org.za", "net.za",
-    "web.za", "co.jp", "ne.jp", "or.jp", "ac.jp", "go.jp", "co.kr", "or.kr", "com.br",
-    "net.br", "org.br", "com.mx", "org.mx", "com.ar", "com.co", "com.pe", "com.ve", "com.tr",
-    "org.tr", "com.sg", "edu.sg", "com.my", "com.ph", "com.hk", "org.hk", "com.tw", "com.cn",
-    "net.cn", "org.cn", "gov.cn", "com.vn", "co.th", "or.th", "co.id", "or.id", "co.il",
-    "org.il", "com.ua", "com.pl", "net.pl", "com.ng", "co.ke", "com.gh", "com.eg", "com.sa",
-    "co.ae", "com.qa", "com.bd", "com.np", "com.lk",
+SECOND_LABELS = ["ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "mil", "ne", "net", "or", "org"]
+DIRECT_CODES = ["ai", "at", "be", "ca", "cc", "ch", "de", "dk", "eu", "fi", "io", "it", "me", "nl", "no", "se", "tv", "us"]
+SUFFIX_RULES = [
+    "ac.at", "co.at", "gv.at", "or.at", "ac.be", "gc.ca", "id.au", "asn.au", "firm.in", "gen.in", "ind.in", "govt.nz", "school.nz",
+    "geek.nz", "maori.nz", "iwi.nz", "ltd.uk", "me.uk", "plc.uk", "nhs.uk", "police.uk", "*.sch.uk", "web.za", "law.za", "nom.za",
+    "asso.fr", "nom.fr", "prd.fr", "tm.fr", "ad.jp", "ed.jp", "gr.jp", "lg.jp", "re.kr", "pe.kr", "art.br", "blog.br", "eco.br",
+    "ind.br", "adv.br", "in.th", "web.id", "my.id", "sch.id", "*.bd", "*.ck", "!www.ck", "*.er", "*.fk", "*.jm", "*.kh", "*.mm",
+    "*.np", "*.pg", "*.kawasaki.jp", "!city.kawasaki.jp", "k12.ca.us", "k12.ny.us", "k12.tx.us",
 ]
 
 # ---- fixed values: e-mail -------------------------------------------------
@@ -109,6 +94,22 @@ PHONE_PLANS = {
     "DE": ("49", "0", r"[1-9][0-9]{5,10}"),
     "IN": ("91", "0", r"[1-9][0-9]{9}"),
     "PK": ("92", "0", r"(3[0-9]{9}|[24-9][0-9]{8,9})"),
+    "FR": ("33", "0", r"[1-9][0-9]{8}"),
+    "IE": ("353", "0", r"(1[0-9]{7}|[2-79][0-9]{6,8}|8[35-9][0-9]{7})"),
+    "ES": ("34", "", r"[6789][0-9]{8}"),
+    "IT": ("39", "", r"(0[0-9]{5,10}|3[0-9]{8,9}|80[03][0-9]{3,6})"),
+    "NL": ("31", "0", r"([1-57][0-9]{8}|6[1-58][0-9]{7}|800[0-9]{4,7})"),
+    "BE": ("32", "0", r"(4[5-9][0-9]{7}|[1-9][0-9]{7})"),
+    "CH": ("41", "0", r"[2-9][0-9]{8}"),
+    "AT": ("43", "0", r"[1-9][0-9]{3,12}"),
+    "SE": ("46", "0", r"[1-9][0-9]{5,9}"),
+    "DK": ("45", "", r"[2-9][0-9]{7}"),
+    "NO": ("47", "", r"[2-9][0-9]{7}"),
+    "MX": ("52", "", r"[2-9][0-9]{9}"),
+    "BR": ("55", "0", r"([1-9][1-9]9[0-9]{8}|[1-9][1-9][2-5][0-9]{7})"),
+    "NZ": ("64", "0", r"(2[1279][0-9]{6,8}|20[0-9]{7,8}|[34679][0-9]{7}|800[0-9]{6,7})"),
+    "ZA": ("27", "0", r"[1-8][0-9]{8}"),
+    "SG": ("65", "", r"([3689][0-9]{7}|1800[0-9]{7})"),
 }
 TOLL_FREE = {
     "1": r"^(800|822|833|844|855|866|877|888)",
@@ -117,8 +118,28 @@ TOLL_FREE = {
     "49": r"^800",
     "91": r"^1800",
     "92": r"^800",
+    "33": r"^80[0-5]",
+    "353": r"^1800",
+    "34": r"^[89]00",
+    "39": r"^80[03]",
+    "31": r"^800",
+    "32": r"^800",
+    "41": r"^800",
+    "43": r"^800",
+    "46": r"^20",
+    "45": r"^80",
+    "47": r"^80",
+    "52": r"^800",
+    "64": r"^800",
+    "27": r"^80",
+    "65": r"^1800",
 }
-MOBILE = {"44": r"^7[1-57-9]", "61": r"^4", "49": r"^1[567]", "91": r"^[6-9]", "92": r"^3"}
+MOBILE = {
+    "44": r"^7[1-57-9]", "61": r"^4", "49": r"^1[567]", "91": r"^[6-9]", "92": r"^3", "33": r"^[67]", "353": r"^8", "34": r"^[67]",
+    "39": r"^3", "31": r"^6", "32": r"^4", "41": r"^7[4-9]", "43": r"^6", "46": r"^7", "47": r"^[49]", "55": r"^[1-9][1-9]9",
+    "64": r"^2", "27": r"^[678]", "65": r"^[89]",
+}
+VOIP = {"44": r"^56", "33": r"^9", "353": r"^76", "34": r"^51", "31": r"^8[58]", "43": r"^720", "65": r"^3", "27": r"^87"}
 PHONE_IN_TEXT = (
     r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,5}\)[ .\-]?)?\b\d{2,5}(?:[ .\-]\d{2,5}){1,4}\b"
     r"|\+?\b\d{7,14}\b"
@@ -240,7 +261,6 @@ STAGES = ["new", "qualified", "contacted", "disqualified"]
 WEBSITE_STATES = ["alive", "dead", "blocked", "timeout"]
 EMAIL_STATES = ["valid_mx", "no_mx", "invalid_syntax", "disposable", "unknown"]
 EMAIL_TYPES = ["personal", "role"]
-JOB_STATES = ["queued", "running", "completed", "failed"]
 SORT_FIELDS = [
     "score", "name", "created_at", "last_enriched_at", "employee_count", "founded_year",
 ]

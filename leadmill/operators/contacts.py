@@ -14,6 +14,8 @@ from leadmill.functions.phones import region_for, to_e164
 from leadmill.operators.ranking import first_k
 from leadmill.session import checkpoint
 
+#: Parts that the rows of one mail host are dealt to.
+SALTS = 64
 FIELDS = ["company_id", "phase", "seq", "full_name", "title", "email", "phone_e164", "is_decision_maker", "source"]
 
 
@@ -161,20 +163,18 @@ def check_emails(contacts: DataFrame, mx: DataFrame) -> DataFrame:
     The MX table is one row per host. Rows are salted towards it so that one very common
     host is spread over many tasks.
     """
-    salts = 16
-    answers = mx_answers(contacts, mx).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = contacts.withColumns(
-        {"host": nz.email_host("email"), "salt": F.pmod(F.xxhash64("email"), F.lit(salts)).cast("int")}
+    given = contacts.filter(~_empty("email"))
+    answers = mx_answers(given, mx).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = given.withColumns(
+        {"host": nz.email_host("email"), "salt": F.pmod(F.xxhash64("email"), F.lit(SALTS)).cast("int")}
     )
     both = rows.join(answers, ["host", "salt"], "left").drop("salt", "host")
-    given = ~_empty("email")
-    return both.withColumns(
-        {
-            "email_status": F.when(given, nz.email_verdict("email", "has_mx")).otherwise("unknown"),
-            "email_type": F.when(given, nz.mailbox_type("email")),
-            "email": F.when(given, nz.email_norm("email")).otherwise(F.col("email")),
-        }
+    checked = both.withColumns(
+        {"email_status": nz.email_verdict("email", "has_mx"), "email_type": nz.mailbox_type("email"), "email": nz.email_norm("email")}
     ).drop("has_mx")
+    return checked.unionByName(
+        contacts.filter(_empty("email")).withColumns({"email_status": F.lit("unknown"), "email_type": F.lit(None).cast("string")})
+    )
 
 
 def validate_contacts(contacts: DataFrame, mx: DataFrame, companies: DataFrame) -> DataFrame:

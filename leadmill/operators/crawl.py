@@ -277,10 +277,18 @@ def resolve_url(base: Column, href: Column) -> Column:
         .otherwise(F.concat(root, folder, href))
     )
     url = F.regexp_replace(url, "#.*$", "")
-    url = F.regexp_replace(url, r"/\./", "/")
-    for _ in range(3):
-        url = F.regexp_replace(url, r"(://[^/]+(?:/[^/?]+)*?)/(?!\.\.)[^/?]+/\.\./", "$1/")
-    return url
+    query = F.regexp_extract(url, r"(\?.*)$", 1)
+    site = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1)
+    steps = F.split(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*/([^?]*)", 1), "/")
+    up = F.aggregate(
+        steps, F.array().cast("array<string>"),
+        lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.concat(done, F.array(s))),
+    )
+    # a last . or .. names the folder
+    tail = F.when(F.element_at(steps, -1).isin(".", "..") & (F.size(up) > 0), "/").otherwise("")
+    clean = F.concat(site, F.lit("/"), F.array_join(up, "/"), tail, query)
+    return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*/[^?]*?(?:^|/)?\.{1,2}(?:/|\?|$)"), clean).otherwise(url)
 
 
 def subpage_links(homes: DataFrame, domain: str = "domain") -> DataFrame:

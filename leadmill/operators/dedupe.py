@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions import normalize as nz
 from leadmill.operators.namejoin import PARTNERS, similar_pairs
 from leadmill.operators.ranking import ranked
-from leadmill.session import at_most, checkpoint
+from leadmill.session import checkpoint, discard
 
 RAW_FIELDS = {
     "name": "string", "website": "string", "industry": "string", "email": "string", "phone": "string",
     "city": "string", "state": "string", "country": "string", "employees": "bigint",
     "revenue": "bigint", "owner": "string", "title": "string", "linkedin": "string",
 }
+#: Parts that the rows of one (name, place) are dealt to when they learn their keeper.
+SALTS = 32
 FILLABLE = ["industry", "city", "state", "country", "employees", "revenue"]
 
 
@@ -50,16 +49,17 @@ def known_domains(cands: DataFrame, companies: DataFrame) -> DataFrame:
 def exact_decisions(cands: DataFrame, companies: DataFrame | None = None) -> DataFrame:
     """Candidates with ``decision`` (no_identity, existing, keep, exact, open) and, where
     decided, the keeper's seq. ``open`` rows have no domain and go to the name pass."""
-    out = cands
+    # rows without a domain meet nobody: they bypass the joins
+    out = cands.filter("domain IS NOT NULL")
     if companies is None:
         out = out.withColumn("_known", F.lit(False))
     else:
         known = known_domains(cands, companies).withColumn("_known", F.lit(True))
         out = out.join(known, "domain", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
-    first = (
-        out.filter("domain IS NOT NULL AND NOT _known").groupBy("domain").agg(F.min("seq").alias("_first"))
+    first = out.filter("NOT _known").groupBy("domain").agg(F.min("seq").alias("_first"))
+    out = out.join(first, "domain", "left").unionByName(
+        cands.filter("domain IS NULL").withColumns({"_known": F.lit(False), "_first": F.lit(None).cast(first.schema["_first"].dataType)})
     )
-    out = out.join(first, "domain", "left")
     decision = (
         F.when(F.col("domain").isNull() & (F.col("name_key") == ""), "no_identity")
         .when(F.col("_known"), "existing")
@@ -185,32 +185,7 @@ def candidate_edges(firm: DataFrame, opened: DataFrame, partners: int = PARTNERS
     return edges.filter((~F.col("u_late")) | (F.col("u") < F.col("v")))
 
 
-REPLAY_EDGES = 200_000
-
-
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The same rule, one open group after the other, for a remainder of proven small size."""
-    rest = [b for b in batches if len(b)]
-    if not rest:
-        return
-    rows = pd.concat(rest).sort_values(["v", "u_late", "u"])
-    ended, city, out = {}, {}, []
-    for v, near in rows.groupby("v", sort=True):
-        ended[v] = None
-        for e in near.itertuples(index=False):
-            if e.u_gone or ended.get(e.u) is not None:
-                continue
-            place = city.get(e.u, e.u_city)
-            if pd.isna(e.v_place) or pd.isna(place) or place == e.v_place:
-                if pd.isna(place) and not pd.isna(e.v_place):
-                    city[e.u] = e.v_place
-                ended[v] = e.u
-                break
-        out.append((v, ended[v]))
-    yield pd.DataFrame(out, columns=["v", "u"]).astype({"v": "int64", "u": "Int64"})
-
-
-def resolve(edges: DataFrame, max_rounds: int = 10_000, replay_edges: int = REPLAY_EDGES) -> DataFrame:
+def resolve(edges: DataFrame) -> DataFrame:
     """(v, u): the keeper each open group ends at, in the order-dependent sense: the first
     earlier kept row that is similar and in the same place at that moment.
 
@@ -218,8 +193,8 @@ def resolve(edges: DataFrame, max_rounds: int = 10_000, replay_edges: int = REPL
     remaining earlier neighbours that does not rule itself out is certainly a match, or none
     remains (then it is kept). A neighbour kept without a place takes the place of its first
     match, so while its place is open only the earliest waiting group may claim it. The
-    earliest unsettled group always settles, so the rounds end; once no more than
-    ``replay_edges`` edges are left, one task replays them in order.
+    earliest unsettled group always settles, so the rounds end. Tables of a round are deleted
+    once the next one is written.
     """
     state = edges.withColumns(
         {"u_open": F.col("u_late"), "u_gone": F.lit(False), "u_city": F.col("u_place")}
@@ -230,11 +205,8 @@ def resolve(edges: DataFrame, max_rounds: int = 10_000, replay_edges: int = REPL
         "u_open", F.col("u_open") & F.col("w").isNotNull()
     ).drop("w")
     state = checkpoint(state)
-    done = None
-    for _ in range(max_rounds):
-        if at_most(state, replay_edges):
-            tail = checkpoint(state.coalesce(1).mapInPandas(_replay, "v bigint, u bigint"))
-            return tail if done is None else done.unionAll(tail)
+    done = []
+    while not state.isEmpty():
         free = ~F.col("u_open") & ~F.col("u_gone") & F.col("u_city").isNull()
         head = state.filter(free & F.col("v_place").isNotNull()).groupBy(F.col("u").alias("h")).agg(
             F.min("v").alias("first")
@@ -259,8 +231,7 @@ def resolve(edges: DataFrame, max_rounds: int = 10_000, replay_edges: int = REPL
                 F.col("c.v_place").alias("gave"),
             )
         )
-        step = settled.select(F.col("s").alias("v"), F.col("to").alias("u"))
-        done = step if done is None else done.unionAll(step)
+        done.append(settled)
         left = state.join(settled.select("s"), state["v"] == F.col("s"), "left_anti")
         moved = settled.select(F.col("s").alias("m"), F.col("to"))
         left = left.join(moved, left["u"] == F.col("m"), "left").withColumns(
@@ -275,29 +246,35 @@ def resolve(edges: DataFrame, max_rounds: int = 10_000, replay_edges: int = REPL
         left = left.join(placed, left["u"] == F.col("k"), "left").withColumn(
             "u_city", F.coalesce("u_city", "gave")
         ).drop("k", "gave")
-        state = checkpoint(left)
-    raise RuntimeError("name pass did not settle")
+        now = checkpoint(left)
+        discard(state)
+        state = now
+    ends = edges.select("v", "u").limit(0)
+    for settled in done:
+        ends = ends.unionAll(settled.select(F.col("s").alias("v"), F.col("to").alias("u")))
+    return ends
 
 
-def fuzzy_decisions(decided: DataFrame, partners: int = PARTNERS,
-                    replay_edges: int = REPLAY_EDGES) -> DataFrame:
+def fuzzy_decisions(decided: DataFrame, partners: int = PARTNERS) -> DataFrame:
     """Complete the decisions: open rows become ``keep`` or ``fuzzy`` with their keeper."""
     decided = checkpoint(decided)
     firm, opened = _nodes(decided)
     opened = checkpoint(opened)
     if opened.isEmpty():
         return decided
-    ends = resolve(candidate_edges(firm, opened, partners), replay_edges=replay_edges)
+    ends = resolve(candidate_edges(firm, opened, partners))
     groups = opened.join(ends.withColumnRenamed("v", "node"), "node", "left").select(
         F.col("name").alias("g_name"), F.col("place").alias("g_place"), "node", F.col("u").alias("end")
     )
     rows = decided.filter("decision = 'open'").withColumns(
-        {"g_name": nz.sorted_tokens("name_key"), "g_place": nz.place_key("city")}
+        {"g_name": nz.sorted_tokens("name_key"), "g_place": nz.place_key("city"), "g_salt": F.pmod(F.xxhash64("seq"), F.lit(SALTS))}
     )
+    groups = groups.withColumn("g_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
     r, g = rows.alias("r"), groups.alias("g")
     placed = r.join(
         g,
-        (F.col("r.g_name") == F.col("g.g_name")) & F.col("r.g_place").eqNullSafe(F.col("g.g_place")),
+        (F.col("r.g_name") == F.col("g.g_name")) & F.col("r.g_place").eqNullSafe(F.col("g.g_place"))
+        & (F.col("r.g_salt") == F.col("g.g_salt")),
     )
     keeper = F.coalesce("g.end", "g.node")
     done = placed.select(
@@ -308,10 +285,9 @@ def fuzzy_decisions(decided: DataFrame, partners: int = PARTNERS,
     return decided.filter("decision <> 'open'").unionByName(done)
 
 
-def dedupe(raw: DataFrame, companies: DataFrame | None = None, partners: int = PARTNERS,
-           replay_edges: int = REPLAY_EDGES) -> DataFrame:
+def dedupe(raw: DataFrame, companies: DataFrame | None = None, partners: int = PARTNERS) -> DataFrame:
     """The full decision log over raw rows; see merged_leads and contact_seeds for results."""
-    return fuzzy_decisions(exact_decisions(candidates(raw), companies), partners, replay_edges)
+    return fuzzy_decisions(exact_decisions(candidates(raw), companies), partners)
 
 
 def removal_counts(decided: DataFrame) -> DataFrame:

@@ -27,15 +27,13 @@ SIGNAL = "array<struct<kind:string,value:string,note:string,first:bigint,pos:int
 
 def prepare(pages: DataFrame) -> DataFrame:
     """Adds the text forms every extractor shares, computed once per page."""
-    out = pages if "country" in pages.columns else pages.withColumn("country", F.lit(None).cast("string"))
-    out = out.withColumn("_blocks", html_blocks("html"))
+    out = pages.withColumn("_blocks", html_blocks("html"))
     lines = F.split(F.array_join("_blocks", "\n"), r"\r\n|\n|\r")
     return out.withColumns(
         {
             "text": F.array_join("_blocks", " "),
             "lines": F.filter(F.transform(lines, lambda x: F.trim(x, F.lit(" \t\r\n"))), lambda x: x != ""),
             "links": anchors("html"),
-            "region": region_for("country"),
             "head": F.when(F.col("path") == "/", head_texts("html")),
         }
     ).drop("_blocks")
@@ -94,14 +92,15 @@ def page_emails(html="html", text="text", domain="domain") -> Column:
     return F.filter(F.array_distinct(found), lambda e: real_email(e, F.col(domain)))
 
 
-def page_phones(html="html", text="text", region="region") -> Column:
+def dialled_phones(html="html", text="text") -> Column:
+    """Numbers as dialled, digits only behind an optional +, distinct, in order."""
     linked = F.transform(
         F.regexp_extract_all(F.col(html), F.lit(lx.TEL_TARGET), F.lit(1)), percent_decode
     )
     written = F.regexp_extract_all(F.col(text), F.lit(lx.PHONE_IN_TEXT), F.lit(0))
     parts = F.transform(F.concat(linked, written), dialled)
-    numbers = F.transform(parts, lambda p: number_of(p, F.col(region)))
-    return F.array_distinct(F.filter(numbers, lambda p: p.isNotNull()))
+    numbers = F.transform(parts, lambda p: F.concat(F.when(p["world"], "+").otherwise(""), p["digits"]))
+    return F.array_distinct(F.filter(numbers, lambda p: p.rlike("[0-9]")))
 
 
 def _emails() -> Column:
@@ -109,7 +108,7 @@ def _emails() -> Column:
 
 
 def _phones() -> Column:
-    return F.transform(page_phones(), lambda p, i: _signal("phone", p, pos=i))
+    return F.transform(dialled_phones(), lambda p, i: _signal("phone", p, pos=i))
 
 
 def social_page(href: Column, network: str) -> Column:
@@ -291,14 +290,24 @@ def register_extractor(name: str, extractor: Extractor) -> None:
     EXTRACTORS[name] = extractor
 
 
-def page_signals(pages: DataFrame, this_year: int, only: list[str] | None = None) -> DataFrame:
+def page_signals(pages: DataFrame, this_year: int, only: list[str] | None = None,
+                 places: DataFrame | None = None) -> DataFrame:
     """(domain, seq, kind, value, note, first, pos), one row per signal on a page.
 
-    ``pages`` has domain, path, seq, html and optionally country.
+    ``pages`` has domain, path, seq, html. ``places`` (domain, country), one row per domain, says
+    where numbers without a country code are dialled, and only signals of its domains stay; it
+    meets the short signals, never the page bodies.
     """
     arrays = [fn(this_year).cast(SIGNAL) for name, fn in EXTRACTORS.items() if only is None or name in only]
-    ready = prepare(pages)
-    return ready.select("domain", "seq", F.inline(F.concat(*arrays)))
+    found = prepare(pages).select("domain", "seq", F.inline(F.concat(*arrays)))
+    if places is None:
+        found = found.withColumn("country", F.lit(None).cast("string"))
+    else:
+        found = found.join(places.select("domain", "country"), "domain")
+    parts = F.struct(F.col("value").startswith("+").alias("world"), F.replace("value", F.lit("+"), F.lit("")).alias("digits"))
+    number = nz.let(parts, lambda p: number_of(p, region_for("country")))
+    found = found.withColumn("value", F.when(F.col("kind") == "phone", number).otherwise(F.col("value"))).drop("country")
+    return found.filter("kind <> 'phone' OR value IS NOT NULL")
 
 
 CAPS = {"email": lx.MAX_EMAILS, "phone": lx.MAX_PHONES, "person": lx.MAX_PEOPLE}
@@ -330,10 +339,11 @@ def domain_signals(signals: DataFrame) -> DataFrame:
     return cut.filter(keep)
 
 
-def enrichment_rows(pages: DataFrame, this_year: int, only: list[str] | None = None) -> DataFrame:
+def enrichment_rows(pages: DataFrame, this_year: int, only: list[str] | None = None,
+                    places: DataFrame | None = None) -> DataFrame:
     """One row per domain with everything found on its pages (arrays of fixed maximum size);
-    ``only`` limits the extractors that run."""
-    sig = domain_signals(page_signals(pages, this_year, only))
+    ``only`` limits the extractors that run, ``places`` the domains (see page_signals)."""
+    sig = domain_signals(page_signals(pages, this_year, only, places))
 
     def listed(kind: str, item: Column) -> Column:
         got = F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", item.alias("item"))))
@@ -376,6 +386,8 @@ def enrichment_rows(pages: DataFrame, this_year: int, only: list[str] | None = N
         evidence.alias("hiring_evidence"),
     )
     sites = pages.groupBy("domain").agg(F.count("*").alias("n_pages"))
+    if places is not None:
+        sites = sites.join(places.select("domain"), "domain", "left_semi")
     out = sites.join(found, "domain", "left")
     none = F.array().cast("array<string>")
     return out.withColumns(
@@ -396,7 +408,7 @@ def apply_enrichment(companies: DataFrame, enrichment: DataFrame, sites: DataFra
 
     ``sites`` holds (domain, website_status, has_ssl, http_status, final_url).
     """
-    c, e, s = companies.alias("c"), enrichment.alias("e"), sites.alias("s")
+    c, e, s = companies.filter("domain IS NOT NULL").alias("c"), enrichment.alias("e"), sites.alias("s")
     both = (
         c.join(s, F.col("c.domain") == F.col("s.domain"), "left")
         .join(e, F.col("c.domain") == F.col("e.domain"), "left")
@@ -434,7 +446,8 @@ def apply_enrichment(companies: DataFrame, enrichment: DataFrame, sites: DataFra
         "last_enriched_at": new(F.lit(now).cast("timestamp"), old("last_enriched_at", "timestamp")),
     }
     same = [F.col(f"c.{x}") for x in companies.columns if x not in changed]
-    return both.select(*same, *[v.alias(k) for k, v in changed.items()])
+    out = both.select(*same, *[v.alias(k) for k, v in changed.items()])
+    return out.unionByName(companies.filter("domain IS NULL"), allowMissingColumns=True).select(*out.columns)
 
 
 def merge_signals(old: Column, new: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from leadmill import lexicons as lx
 from leadmill.operators.ranking import ranked
 from leadmill.operators.scoring import top_reasons
-from leadmill.session import BROADCAST_ROWS, at_most
 
 CONTACT_FIELDS = [
     "contact_id", "full_name", "title", "email", "email_status", "email_type", "phone_e164",
@@ -49,8 +49,11 @@ ACQUISITION_TARGETS = LeadFilters(grade=("A",), sort="founded_year", order="asc"
 
 
 def contains_text(c: Column | str, text: str) -> Column:
-    """Case-insensitive substring; % and _ in the text keep their LIKE meaning."""
-    return (F.col(c) if isinstance(c, str) else c).ilike(f"%{text}%")
+    """Case-insensitive substring; % and _ in the text keep their LIKE meaning, a lone \\ is itself."""
+    pattern = re.sub(r"\\(?![%_\\])", r"\\\\", re.sub(r"\\\\", r"\\\\", text))
+    if len(pattern) - len(pattern.rstrip("\\")) & 1:
+        pattern += "\\"
+    return (F.col(c) if isinstance(c, str) else c).ilike(f"%{pattern}%")
 
 
 def words_of(c: Column) -> Column:
@@ -100,11 +103,8 @@ def filter_leads(leads: DataFrame, f: LeadFilters, contacts: DataFrame | None =
 
 
 def selected(leads: DataFrame, ids: DataFrame) -> DataFrame:
-    """Only these ids (one column ``id``); broadcast only when the list is small."""
-    pick = ids.select("id").distinct()
-    if at_most(pick, BROADCAST_ROWS):
-        pick = F.broadcast(pick)
-    return leads.join(pick, "id", "left_semi")
+    """Only these ids (one column ``id``)."""
+    return leads.join(ids.select("id").distinct(), "id", "left_semi")
 
 
 def order_keys(f: LeadFilters) -> list[Column]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from leadmill import lexicons as lx
 from leadmill.functions.similarity import is_similar, lcs_udf, max_edits
-from leadmill.session import BROADCAST_ROWS, at_most, checkpoint
+from leadmill.session import checkpoint
 
 PARTNERS = 2_000
 CUTS = (1, 4, 12)
@@ -82,9 +82,7 @@ def longer_pieces(names: DataFrame, shapes: DataFrame, m: int) -> DataFrame:
 
 
 def _shaped(names: DataFrame, shapes: DataFrame) -> DataFrame:
-    # ``shapes`` holds length pairs: few for texts as short as names, but checked
-    rows = names.repartition("name").withColumn("l2", F.length("name"))
-    return rows.join(F.broadcast(shapes) if at_most(shapes, BROADCAST_ROWS) else shapes, "l2")
+    return names.repartition("name").withColumn("l2", F.length("name")).join(shapes, "l2")
 
 
 def _partners(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -152,7 +150,8 @@ def _matches(a: DataFrame, b: DataFrame) -> DataFrame:
     return (
         x.join(y, "key")
         .filter((F.col("ca") | F.col("cb")) & (F.col("a") != F.col("b")))
-        .filter(F.levenshtein("a", "b") <= k)
+        .withColumn("edits", k)
+        .filter(F.expr("levenshtein(a, b, edits)") >= 0)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     )
 

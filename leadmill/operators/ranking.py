@@ -7,22 +7,15 @@ from pyspark.sql import functions as F
 
 from leadmill.session import checkpoint
 
-GROUP_ROWS = 1_000_000
 
-
-def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str = "pos",
-           group_rows: int = GROUP_ROWS) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str = "pos") -> DataFrame:
     """1-based position of every row in its group; ``order`` must be total.
 
-    While every group is small (measured by a pre-aggregated count) one window does it.
-    Otherwise rows are range-split on keys and order, so that a group of any size spreads
-    over many tasks; each range numbers its own rows and adds the count of the group's
+    Rows are range-split on keys and order, so that a group of any size spreads over many
+    tasks; each range numbers its own rows and adds the count of the group's
     rows in earlier ranges. The range ids are checkpointed: a lost task must not draw
     other borders.
     """
-    oversized = df.groupBy(*keys).count().filter(F.col("count") > group_rows)
-    if oversized.isEmpty():
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     parts = df.repartitionByRange(*[F.col(k) for k in keys], *order)
     parts = checkpoint(parts.withColumn("_range", F.spark_partition_id()))
     local = parts.withColumn(

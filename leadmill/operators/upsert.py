@@ -5,16 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.session import BROADCAST_ROWS, at_most
-
 # fixed values: columns a re-import may fill but never overwrite
 FILL_ON_CONFLICT = ["industry", "city", "state", "country", "employee_count", "revenue_estimate"]
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if at_most(df, BROADCAST_ROWS) else df
-
-
 def upsert_companies(companies: DataFrame, incoming: DataFrame, now: str) -> DataFrame:
     """Insert by domain; on conflict keep known values, fill the gaps, take the new import.
 
@@ -57,7 +51,7 @@ def insert_contacts(contacts: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def bulk_set_stage(companies: DataFrame, ids: DataFrame, stage: str) -> tuple[DataFrame, DataFrame]:
     """(companies, one-row affected count) for a list of ids, repeats ignored."""
-    pick = _small(ids.select("id").distinct()).withColumn("_hit", F.lit(True))
+    pick = ids.select("id").distinct().withColumn("_hit", F.lit(True))
     out = companies.join(pick, "id", "left").withColumn(
         "stage", F.when(F.col("_hit"), stage).otherwise(F.col("stage"))
     )
@@ -66,7 +60,7 @@ def bulk_set_stage(companies: DataFrame, ids: DataFrame, stage: str) -> tuple[Da
 
 def bulk_delete(companies: DataFrame, contacts: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(companies, contacts, affected): contacts go with their company."""
-    pick = _small(ids.select("id").distinct())
+    pick = ids.select("id").distinct()
     left = companies.join(pick, "id", "left_anti")
     orphaned = pick.withColumnRenamed("id", "company_id")
     affected = companies.join(pick, "id", "left_semi").agg(F.count("*").alias("affected"))

@@ -24,7 +24,8 @@ def blocks_sql(html: str) -> str:
                         (r"(?is)<title\b.*?</title\s*>", "")]:
         t = f"regexp_replace({t}, '{pattern}', '{to}', 'g')"
     item = "x"
-    for ref, ch in tx.ENTITIES:
+    for ref, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&nbsp;", " "), ("&middot;", "·"), ("&mdash;", "—"), ("&#169;", "©"),
+                    ("&#x27;", "'"), ("&eacute;", "é"), ("&amp;", "&")]:
         item = "replace({}, '{}', '{}')".format(item, ref, ch.replace("'", "''"))
     return (f"list_filter(list_transform(regexp_split_to_array({t}, '<[^>]*>'), lambda x: "
             f"trim({item}, ' ' || chr(9) || chr(13) || chr(10))), lambda x: x <> '')")
@@ -137,7 +138,7 @@ def tech_stack(spark, sf):
     return e.select("domain", F.array_join("tech_stack", ", ").alias("stack"), F.col("modern_stack").alias("modern"))
 
 
-TALK = """SELECT conv_id * 1000 + turn AS id, concat(CASE role WHEN 'user' THEN 'Meet John H. Langer - President' WHEN 'assistant' THEN 'Service Director: Kevin O''Neil'
+TALK = """SELECT conv_id * 1000 + turn AS id, concat(CASE role WHEN 'user' THEN 'Meet Ingrid B. Solvay - President' WHEN 'assistant' THEN 'Finance Director: Moira D''Arcy'
   ELSE 'Search Extended - Owner' END, chr(10), text) AS text FROM {conversations}"""
 _NAME = lx.PERSON_NAME.replace("'", "''")
 _T = ex._TITLES
@@ -155,7 +156,7 @@ def people(spark, sf):
     return found.groupBy("id", "name").agg(F.min_by("title", "pos").alias("title"))
 
 
-@query("page_people", f"""{PAGES} SELECT domain, name, title, leader FROM (VALUES ('John Smith', 'Owner', true), ('Maria Garcia', 'Office Manager', false), ('Robert Brown', 'Founder & CEO', true)) v(name, title, leader),
+@query("page_people", f"""{PAGES} SELECT domain, name, title, leader FROM (VALUES ('Orla Quist', 'Owner', true), ('Petra Venn', 'Office Manager', false), ('Tomas Ekdal', 'Founder & CEO', true)) v(name, title, leader),
   (SELECT DISTINCT domain FROM t WHERE seq % 13 = 10)""")
 def page_people(spark, sf):
     e = ex.enrichment_rows(site_pages(spark, sf), YEAR, ["people"])

@@ -23,9 +23,10 @@ def domain_sql(text: str) -> str:
     parts = f"string_split(trim({host}, '.'), '.')"
     n = f"len({parts})"
     last2 = f"array_to_string({parts}[-2:], '.')"
-    keep = f"CASE WHEN {last2} IN ({listed(lx.TWO_LABEL_SUFFIXES)}) THEN array_to_string({parts}[-3:], '.') ELSE {last2} END"
-    return (f"CASE WHEN ({parts}[-1] IN ({listed(lx.GENERIC_TLDS)}) OR regexp_matches({parts}[-1], '^[a-z][a-z]$')) "
-            f"AND {n} >= 2 AND NOT contains({host}, ' ') AND {keep} NOT IN ({listed(lx.TWO_LABEL_SUFFIXES)}) THEN {keep} END")
+    pair = f"(regexp_matches({last2}, '^(com|co|net|org|edu|gov|ac)[.](uk|fr|ec|au|nz|za|br|mx|jp|in|pk)$') OR {last2} IN ('ltd.uk', 'me.uk') OR {parts}[-1] = 'ck')"
+    keep = f"CASE WHEN {pair} THEN array_to_string({parts}[-3:], '.') ELSE {last2} END"
+    return (f"CASE WHEN regexp_matches({parts}[-1], '^[a-z]+$') AND {parts}[-1] NOT IN ('localhost', 'local', 'html') "
+            f"AND {n} >= (CASE WHEN {pair} THEN 3 ELSE 2 END) AND NOT contains({host}, ' ') THEN {keep} END")
 
 
 def name_key_sql(text: str) -> str:
@@ -67,6 +68,18 @@ def canonical_domain(spark, sf):
         "page_id", "domain", nz.website_url("domain").alias("website"))
 
 
+SITE = """SELECT c_custkey AS id, concat(CASE c_custkey % 3 WHEN 0 THEN 'https://www.' WHEN 1 THEN 'shop.' ELSE '' END, 'c', c_custkey,
+  CASE c_custkey % 9 WHEN 0 THEN '.ltd' WHEN 1 THEN '.com.fr' WHEN 2 THEN '.com.ec' WHEN 3 THEN '.dentist' WHEN 4 THEN '.any.ck'
+    WHEN 5 THEN '.localhost' WHEN 6 THEN '.co.de' WHEN 7 THEN '.me.uk' ELSE '.html' END) AS url FROM {customer}"""
+
+
+@query("domain_suffixes", """SELECT c_custkey AS id, CASE c_custkey % 9 WHEN 0 THEN 'c' || c_custkey || '.ltd' WHEN 1 THEN 'c' || c_custkey || '.com.fr'
+  WHEN 2 THEN 'c' || c_custkey || '.com.ec' WHEN 3 THEN 'c' || c_custkey || '.dentist' WHEN 4 THEN 'c' || c_custkey || '.any.ck' WHEN 6 THEN 'co.de'
+  WHEN 7 THEN 'c' || c_custkey || '.me.uk' END AS domain FROM customer""")
+def domain_suffixes(spark, sf):
+    return mart.view(spark, sf, SITE).select("id", nz.canonical_domain("url").alias("domain"))
+
+
 @query("domain_counts", f"SELECT {domain_sql('url')} AS domain, count(*) AS pages FROM pages GROUP BY 1")
 def domain_counts(spark, sf):
     return table(spark, sf, "pages").groupBy(nz.canonical_domain("url").alias("domain")).agg(F.count("*").alias("pages"))

@@ -13,6 +13,7 @@ from leadmill.plans.catalog.crawl import site_pages
 from leadmill.plans.catalog.imports import RAW
 from leadmill.plans.registry import query, table
 from leadmill.session import cut_folder
+from leadmill.sources import delimited as dl
 from leadmill.streaming import incremental as inc
 
 
@@ -41,14 +42,56 @@ def stream_intake(spark, sf):
     stream = spark.readStream.schema(pages.schema).option("pathGlobFilter", "pages.parquet").parquet(sf)
     folder = f"{cut_folder(spark)}/intake-{uuid.uuid4().hex}"
 
-    def handle(batch, batch_id):
-        raw = batch.sparkSession.sql(mart.PAGE_LEAD, pages=batch)
-        dd.dedupe(raw).select("seq", "decision").write.mode("append").parquet(f"{folder}/decisions")
+    def make(batch):
+        return dd.dedupe(batch.sparkSession.sql(mart.PAGE_LEAD, pages=batch)).select("seq", "decision")
 
-    inc.intake(stream, handle, f"{folder}/state", f"{folder}/batches").awaitTermination()
-    return spark.read.parquet(f"{folder}/decisions").groupBy("decision").agg(F.count("*").alias("n"))
+    arrivals = stream.withColumn("file", F.col("_metadata.file_path"))
+    inc.intake(arrivals, make, f"{folder}/state", folder).awaitTermination()
+    return inc.imported(spark, folder).groupBy("decision").agg(F.count("*").alias("n"))
 
 
+LEAD_FILE = """SELECT c_mktsegment AS segment, c_name AS name, CASE WHEN c_custkey % 7 = 0 THEN 'n/a' ELSE concat('c', c_custkey, '-shop.com') END AS website,
+  CASE WHEN c_custkey % 5 = 0 THEN concat('He said "', c_mktsegment, '", twice') ELSE c_mktsegment END AS sector, concat(c_custkey % 90, '-99') AS staff FROM {customer}"""
+
+
+def _lead_files(spark, sf, folder):
+    """The customers as delimited files, one or more per market segment, in two dialects."""
+    rows = mart.view(spark, sf, LEAD_FILE)
+    for at, part in enumerate(("segment < 'F'", "segment >= 'F'")):
+        rows.filter(part).repartition("segment").select("name", "website", "sector", "staff").write.option("header", "true").option(
+            "delimiter", ",;"[at]).option("escape", '"').csv(f"{folder}/in/{at}")
+
+
+FILE_ROWS = f"""SELECT name, CASE WHEN website <> 'n/a' THEN website END AS website, sector AS industry, CAST(regexp_extract(staff, '^[0-9]+') AS BIGINT) AS employees
+FROM {mart.sql_text(LEAD_FILE)}"""
+
+
+@query("file_rows", FILE_ROWS)
+def file_rows(spark, sf):
+    folder = f"{cut_folder(spark)}/files-{uuid.uuid4().hex}"
+    _lead_files(spark, sf, folder)
+    return dl.skip_nameless(dl.read_leads(spark, f"{folder}/in")[0])[0].select("name", "website", "industry", "employees")
+
+
+@query("import_jobs", f"""SELECT 'csv' AS source, 'queued' AS status, count(*) AS rows FROM {mart.sql_text(LEAD_FILE)}""")
+def import_jobs(spark, sf):
+    folder = f"{cut_folder(spark)}/files-{uuid.uuid4().hex}"
+    _lead_files(spark, sf, folder)
+    rows, report = dl.read_leads(spark, f"{folder}/in")
+    log = dd.exact_decisions(dd.candidates(dl.with_order(dl.skip_nameless(rows)[0])))
+    jobs = dl.import_jobs(log, report)
+    return jobs.groupBy("source", "status").agg(F.sum("total_rows").cast("bigint").alias("rows"))
+
+
+@query("stream_file_intake", f"SELECT website AS domain, count(*) AS n FROM ({FILE_ROWS}) WHERE website IS NOT NULL GROUP BY 1")
+def stream_file_intake(spark, sf):
+    """The files arrive; then the state is lost and everything is offered again."""
+    folder = f"{cut_folder(spark)}/files-{uuid.uuid4().hex}"
+    _lead_files(spark, sf, folder)
+    for state in ("first", "second"):
+        arrivals = inc.file_arrivals(spark, f"{folder}/in", files_per_batch=3)
+        inc.intake(arrivals, lambda b: inc.read_arrived(b).select("website"), f"{folder}/{state}", folder).awaitTermination()
+    return inc.imported(spark, folder).groupBy(F.col("website").alias("domain")).agg(F.count("*").alias("n")).filter("domain IS NOT NULL")
 
 
 @query("import_enrich_score")

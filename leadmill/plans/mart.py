@@ -104,17 +104,17 @@ PAGE = """
 SELECT page_id AS seq, url, replace(html, '<article>', concat('<article>',
   CASE page_id % 13
     WHEN 0 THEN concat('<p>Founded in ', 1900 + page_id % 120, ' and serving Austin since 1999.</p>')
-    WHEN 1 THEN concat('<p>&copy; 2009-', 2012 + page_id % 12, ' Acme</p>')
+    WHEN 1 THEN concat(CASE page_id % 3 WHEN 0 THEN '<p>&copy; 2009-' WHEN 1 THEN '<p>&#169; 2009-' ELSE '<p>&eacute; &copy;2009-' END, 2012 + page_id % 12, ' Tallow Ridge</p>')
     WHEN 2 THEN '<p>We are a Family-Owned shop, second generation.</p>'
-    WHEN 3 THEN '<p>Great news: we''re hiring! Apply now.</p>'
-    WHEN 4 THEN '<a href="https://boards.greenhouse.io/acme">jobs</a>'
+    WHEN 3 THEN CASE page_id % 2 WHEN 0 THEN '<p>Great news: we''re hiring! Apply now.</p>' ELSE '<p>Great news: we&#x27;re hiring! Apply now.</p>' END
+    WHEN 4 THEN '<a href="https://boards.greenhouse.io/tallow">jobs</a>'
     WHEN 5 THEN '<script src="//js.hs-scripts.com/1.js"></script><link href="/wp-content/a.css">'
-    WHEN 6 THEN concat('<a href="https://www.linkedin.com/company/acme-', page_id, '/">in</a><a href="https://x.com/intent/tweet">t</a><a href="https://x.com/acme', page_id, '">x</a>')
-    WHEN 7 THEN '<a href="https://www.facebook.com/sharer/sharer.php?u=a">share</a><a href="https://facebook.com/AcmeAustin.">fb</a>'
-    WHEN 8 THEN concat('<p>Mail office [at] ', regexp_extract(url, '([a-z-]+[.]example[.](com|net|org))', 1), ' or <a href="mailto:Jane%2Edoe', page_id, '@', regexp_extract(url, '([a-z-]+[.]example[.](com|net|org))', 1), '?subject=x">us</a>, not test@gmail.com but acme.', page_id, '@gmail.com</p>')
+    WHEN 6 THEN concat('<a href="https://www.linkedin.com/company/tallow-', page_id, '/">in</a><a href="https://x.com/intent/tweet">t</a><a href="https://x.com/tallow', page_id, '">x</a>')
+    WHEN 7 THEN '<a href="https://www.facebook.com/sharer/sharer.php?u=a">share</a><a href="https://facebook.com/TallowRidge.">fb</a>'
+    WHEN 8 THEN concat('<p>Mail office [at] ', regexp_extract(url, '([a-z-]+[.]example[.](com|net|org))', 1), ' or <a href="mailto:Jane%2Edoe', page_id, '@', regexp_extract(url, '([a-z-]+[.]example[.](com|net|org))', 1), '?subject=x">us</a>, not test@gmail.com but tallow.', page_id, '@gmail.com</p>')
     WHEN 9 THEN concat('<p>Call <a href="tel:+1-512-555-0', 100 + page_id % 90, '">us</a> or (415) 555-', 2000 + page_id % 7000, ', fax 555-0100</p>')
-    WHEN 10 THEN '<ul><li>John Smith, Owner</li><li>Maria Garcia - Office Manager</li><li>Founder &amp; CEO Robert Brown</li><li>Contact Us, Owner</li></ul>'
-    WHEN 11 THEN '<a href="/about-us">About</a><a href="/blog/about-our-new-van">van</a><a href="/team/">Team</a><a href="/files/history.pdf">pdf</a>'
+    WHEN 10 THEN '<ul><li>Orla Quist, Owner</li><li>Petra Venn - Office Manager</li><li>Founder &amp; CEO Tomas Ekdal</li><li>Contact Us, Owner</li></ul>'
+    WHEN 11 THEN '<a href="/about-us">About</a><a href="/blog/about-our-winter-sale">sale</a><a href="/team/">Team</a><a href="/files/history.pdf">pdf</a>'
     ELSE '' END)) AS html
 FROM {pages}
 """

@@ -13,6 +13,7 @@ from leadmill.operators import dedupe as dd
 from leadmill.operators import extract as ex
 from leadmill.operators import scoring as sc
 from leadmill.operators import upsert as up
+from leadmill.operators.ranking import ranked
 from leadmill.session import checkpoint
 
 COMPANY_FIELDS = {
@@ -72,8 +73,10 @@ def run_import(raw: DataFrame, companies: DataFrame, contacts: DataFrame, import
     ids = kept.select("seq", "domain", "id").join(old, "domain", "left").select(
         F.col("seq").alias("company_seq"), F.coalesce("old_id", "id").alias("company_id")
     )
-    seeds = dd.contact_seeds(decided).join(ids, "company_seq").select(
-        "company_id", (F.col("late").cast("bigint") * F.lit(1 << 58) + F.col("seq")).alias("seq"), "full_name", "title",
+    # contacts of a company are numbered by (import, fuzzy last, row): no two imports share a number
+    turn = ranked(dd.contact_seeds(decided).join(ids, "company_seq"), ["company_id"], [F.col("late"), F.col("seq"), F.xxhash64("email", "full_name", "phone")], "turn")
+    seeds = turn.select(
+        "company_id", (F.lit(import_id).cast("bigint") * F.lit(1 << 32) + F.col("turn")).alias("seq"), "full_name", "title",
         "email", F.col("phone").alias("phone_e164"), F.col("linkedin").alias("linkedin_url"),
         F.lit(False).alias("is_decision_maker"), F.lit("csv").alias("source"),
     )
@@ -88,8 +91,7 @@ def process_companies(companies: DataFrame, contacts: DataFrame, pages: DataFram
     without a domain skip the enrichment.
     """
     places = companies.filter("domain IS NOT NULL").select("domain", "country", F.col("id").alias("company_id"))
-    wanted = pages.join(places.select("domain", "country"), "domain")
-    found = checkpoint(ex.enrichment_rows(wanted, as_of_year))
+    found = checkpoint(ex.enrichment_rows(pages, as_of_year, places=places))
     enriched = ex.apply_enrichment(companies, found, sites, now)
     mine = found.join(places, "domain").select("company_id", "people", "emails", "phones")
     mine = mine.withColumn("people", F.coalesce("people", F.array().cast(found.schema["people"].dataType)))

@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-BROADCAST_ROWS = 200_000
-
 
 def local_session(cores: str = "*", shuffle: int = 8, app: str = "leadmill") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
@@ -31,16 +29,16 @@ def local_session(cores: str = "*", shuffle: int = 8, app: str = "leadmill") ->
 def cut_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; all executors share it.
 
-    Only where that setting is absent and Spark runs on one machine (tests) one is made.
+    Only where that setting is absent (tests) a local one is made.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     named = named or sc.getCheckpointDir()
     if not named:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local"):  # a folder of one machine is no shared folder
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="leadmill-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="leadmill-"))
+        named = sc.getCheckpointDir()
     return named
 
 
@@ -57,6 +55,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the tables that a checkpointed ``df`` reads; nobody may read it after that."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        place = jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(conf).delete(place, True)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has at most ``rows`` rows; reads no more than that plus one."""
     return df.limit(rows + 1).count() <= rows

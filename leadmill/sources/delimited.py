@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +20,6 @@ from leadmill.functions.normalize import blank_to_null, canonical_domain, parse_
 from leadmill.session import checkpoint
 
 FIELDS = list(lx.HEADER_SYNONYMS)
-HEAD_BYTES = 1 << 20
 
 
 def header_key(c: Column | str) -> Column:
@@ -62,15 +62,14 @@ def infer_delimiter(line: Column) -> Column:
     return F.when(best["n"] > 0, best["d"]).otherwise(",")
 
 
-def first_looks(spark: SparkSession, path: str) -> DataFrame:
+def first_looks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, bytes, encoding, delimiter, header, content): one row per file.
 
     Whole contents are only touched to test the encoding, inside the scan task.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    head = F.substring("content", 1, HEAD_BYTES)
-    text = F.when(utf8, F.decode(head, "UTF-8")).otherwise(F.decode(head, "ISO-8859-1"))
+    text = F.when(utf8, F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
     line = F.regexp_replace(F.regexp_extract(text, r"^﻿?([^\r\n]*)", 1), "^﻿", "")
     return files.select(
         F.col("path").alias("file"),
@@ -141,6 +140,7 @@ def skip_nameless(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Records of whole files, in file order; blank lines do not count as records."""
     columns = ["file", "row_number", *FIELDS]
+    csv.field_size_limit(sys.maxsize)
     for files in batches:
         for f in files.itertuples(index=False):
             text = bytes(f.content).decode("utf-8-sig" if f.encoding == "UTF-8" else "latin-1")
@@ -162,14 +162,14 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows, columns=columns)
 
 
-def read_leads(spark: SparkSession, path: str, max_bytes: int | None = None,
+def read_leads(spark: SparkSession, path: str | list[str], max_bytes: int | None = None,
                max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(lead rows, file report) of all files below ``path``, rows numbered from 2.
+    """(lead rows, file report) of all files below ``path`` (one or more), rows numbered from 2.
 
     A file is read whole by one task, as quoted line breaks demand, and its header mapping is
     worked out in the same row, so neither contents nor file names pass through a shuffle or
     the driver. The size and row limits of an interactive upload are off unless given; a file
-    over the row limit is rejected whole.
+    over the row limit, counted in rows with a name or website, is rejected whole.
     """
     looks = first_looks(spark, path)
     report = file_report(looks.drop("content"), map_headers(header_table(looks)), max_bytes)
@@ -186,7 +186,8 @@ def read_leads(spark: SparkSession, path: str, max_bytes: int | None = None,
     schema = "file string, row_number bigint, " + ", ".join(f"{f} string" for f in FIELDS)
     rows = files.mapInPandas(_records, schema)
     if max_rows is not None:
-        over = rows.groupBy("file").count().filter(F.col("count") > max_rows).select("file")
+        counted = skip_nameless(typed_rows(rows))[0]
+        over = counted.groupBy("file").count().filter(F.col("count") > max_rows).select("file")
         rows = rows.join(over, "file", "left_anti")
         report = report.join(over.withColumn("over", F.lit(True)), "file", "left").withColumn(
             "error", F.when(F.col("over"), "IMPORT_TOO_MANY_ROWS").otherwise(F.col("error"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,28 +13,41 @@ from pyspark.sql.streaming import StreamingQuery
 from leadmill import lexicons as lx
 from leadmill.operators.crawl import stale
 from leadmill.operators.stats import job_counters
+from leadmill.session import checkpoint
+from leadmill.sources.delimited import read_leads, skip_nameless
 
 
-def intake(arrivals: DataFrame, handle: Callable[[DataFrame, int], None], state: str,
-           table: str) -> StreamingQuery:
-    """Each micro-batch of arrived rows is imported by ``handle(batch, batch_id)``.
+def _existing(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """The table at ``path``, empty if nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
-    A batch that was finished before a restart is not handled twice: its number is kept in
-    a table next to the data, written after the import.
+
+MARKS = "file string, run string"
+FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def intake(arrivals: DataFrame, make: Callable[[DataFrame], DataFrame], state: str, table: str) -> StreamingQuery:
+    """Imports arriving rows (with their ``file``), each file once, whatever becomes of the state.
+
+    ``make`` turns the rows of new files into results. Results are written first, under the name
+    of their run; then one small table marks the run's files as done. Results of a run without
+    marks are not read, and its files are imported again.
     """
     spark = arrivals.sparkSession
 
     def once(batch: DataFrame, batch_id: int) -> None:
-        done = spark.read.schema("batch_id bigint").option("pathGlobFilter", "*.parquet")
-        try:
-            seen = not done.parquet(table).filter(F.col("batch_id") == batch_id).isEmpty()
-        except Exception as exc:  # nothing recorded yet
-            if "PATH_NOT_FOUND" not in str(exc):
-                raise
-            seen = False
-        if not seen:
-            handle(batch, batch_id)
-            spark.range(1).select(F.lit(batch_id).cast("bigint").alias("batch_id")).write.mode("append").parquet(table)
+        done = _existing(spark, MARKS, f"{table}/marks")
+        files = checkpoint(batch.select("file").distinct().join(done, "file", "left_anti"))
+        if files.isEmpty():
+            return
+        run = uuid.uuid4().hex
+        make(batch.join(files, "file", "left_semi")).write.parquet(f"{table}/results/run={run}")
+        files.withColumn("run", F.lit(run)).coalesce(1).write.mode("append").parquet(f"{table}/marks")
 
     return (
         arrivals.writeStream.foreachBatch(once)
@@ -42,15 +57,27 @@ def intake(arrivals: DataFrame, handle: Callable[[DataFrame, int], None], state:
     )
 
 
+def imported(spark: SparkSession, table: str) -> DataFrame:
+    """The results of all finished runs, with their ``run``."""
+    marks = _existing(spark, MARKS, f"{table}/marks").select("run").distinct()
+    return spark.read.option("basePath", f"{table}/results").parquet(f"{table}/results/run=*").join(marks, "run", "left_semi")
+
+
 def file_arrivals(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Arriving delimited files as whole texts with their names; each file is one import."""
+    """Names of arriving files, at most ``files_per_batch`` in a batch; contents are not read."""
     return (
-        spark.readStream.format("text").option("wholetext", "true")
-        .option("maxFilesPerTrigger", str(files_per_batch)).load(path)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+        spark.readStream.format("binaryFile").schema(FILE).option("maxFilesPerTrigger", str(files_per_batch))
+        .option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"))
     )
 
 
+def read_arrived(batch: DataFrame) -> DataFrame:
+    """Lead rows of the arrived files, each file one import; as many names as a batch holds."""
+    files = [r.file for r in batch.select("file").distinct().collect()]
+    rows, _ = read_leads(batch.sparkSession, files)
+    return skip_nameless(rows)[0]
+
+
 def progress(outcomes: DataFrame, timeout_ms: int = lx.LEAD_TIMEOUT_MS) -> DataFrame:
     """Running counters per job over a stream of outcomes (update or complete mode)."""
     return job_counters(outcomes, timeout_ms)
