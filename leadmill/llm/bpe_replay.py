@@ -24,7 +24,7 @@ from leadmill.llm.bpe import NEVER, NO_ID, SHIFT, Ranks, pre_tokens, tiktoken_ra
 from leadmill.llm.common import arrow_schema, map_batches, texts_of
 
 #: Text of a block and distinct pre-tokens that a task remembers from block to block.
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 8_000_000
 REMEMBERED = 1_000_000
 
 
