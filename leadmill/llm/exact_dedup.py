@@ -1,10 +1,13 @@
 """Exact deduplication by a stateful stream, in DataFrame functions only.
 
-The rows' digests, stable identifiers and content locators are written as a table and read as a stream. Its
-keyed state (digest -> group size, largest identifier and that row's locator) lies in RocksDB on disk, has no
-expiry and is checkpointed to the shared folder; each micro-batch writes the states it changed. A hit, a digest
-that holds more than one row, is checked on the full bytes: the members' texts are compared with the text at
-the state's locator. Should a digest stand for different texts, its rows are grouped by the texts themselves.
+The rows' digests, stable identifiers and content locators are written as a table and read as a stream. The
+stream's keyed state (digest -> group size, largest identifier and that row's locator) is a table on disk in the
+shared folder: it has no expiry, and each micro-batch looks its digests up and writes the entries it changed as
+its own part, over which a repeated batch writes again. So neither the state nor the stream's progress is lost
+with an executor. (State in RocksDB was tried first: it preallocates 4 MB of local disk per shuffle partition.)
+
+A hit, a digest that holds more than one row, is checked on the full bytes: the members' texts are compared with
+the text at the state's locator. Should a digest stand for different texts, its rows are grouped by the texts.
 
 A-Z are lower-cased before comparing. Null and empty texts are equal. Of equal texts the row with the largest
 identifier stays (null is the smallest); of equal identifiers the one with the largest locator, so of repeated
@@ -14,29 +17,15 @@ rows one stays. An empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.llm.common import Cuts, fold
 
 #: Files of the digest table in one micro-batch.
 FILES_PER_BATCH = 512
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-@contextmanager
-def _settings(spark: SparkSession, wanted: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def sha256(text: Column) -> Column:
@@ -53,33 +42,38 @@ def located(docs: DataFrame, cuts: Cuts) -> tuple[DataFrame, Column]:
         return cuts.write(docs, "rows"), place
 
 
-def groups(keys: DataFrame, cuts: Cuts, files: int = FILES_PER_BATCH) -> DataFrame:
-    """digest, group_size and last (doc_id, locator) from a stream over the table ``keys`` in the cut "keys"."""
-    spark = keys.sparkSession
-    out = cuts.path("states")
-    stream = (
-        spark.readStream.schema(keys.schema).option("maxFilesPerTrigger", files).parquet(cuts.path("keys"))
-        .groupBy("digest").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "locator")).alias("last"))
-    )
-
-    def keep(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-
-    with _settings(spark, {"spark.sql.streaming.stateStore.providerClass": STORE}):
-        running = (
-            stream.writeStream.outputMode("update").foreachBatch(keep)
-            .option("checkpointLocation", cuts.path("state")).trigger(availableNow=True).start()
-        )
-        running.awaitTermination()
-    batches = running.lastProgress
-    if batches is None:
-        return spark.createDataFrame([], stream.schema)
-    written = spark.read.schema(f"{_ddl(stream)}, batch bigint").option("basePath", out).parquet(f"{out}/batch=*")
-    return written.groupBy("digest").agg(*(F.max_by(c, "batch").alias(c) for c in ("group_size", "last")))
+STATE = "digest binary, group_size bigint, last struct<doc_id: bigint, locator: string>"
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+def groups(keys: DataFrame, cuts: Cuts, files: int = FILES_PER_BATCH) -> DataFrame:
+    """digest, group_size and last (doc_id, locator) from a stream over the table ``keys`` in the cut "keys"."""
+    spark, state = keys.sparkSession, cuts.path("states")
+    spark.createDataFrame([], STATE).write.parquet(f"{state}/batch=-1")
+
+    def entries() -> DataFrame:
+        """The newest entry of each digest."""
+        parts = spark.read.schema(f"{STATE}, batch bigint").option("basePath", state).parquet(f"{state}/batch=*")
+        return parts.groupBy("digest").agg(*(F.max_by(c, "batch").alias(c) for c in ("group_size", "last")))
+
+    def update(batch: DataFrame, number: int) -> None:
+        came = batch.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "locator")).alias("new"))
+        if number:
+            # an entry of this very batch, left by a run that broke off, is not looked up
+            parts = [f"{state}/batch={i}" for i in range(number)]
+            held = spark.read.schema(f"{STATE}, batch bigint").option("basePath", state).parquet(*parts)
+            held = held.join(came.select("digest"), "digest", "left_semi").groupBy("digest").agg(
+                *(F.max_by(c, "batch").alias(c) for c in ("group_size", "last"))
+            )
+            came = came.join(held, "digest", "left").select(
+                "digest", (F.col("n") + F.coalesce("group_size", F.lit(0))).alias("group_size"), F.greatest("new", "last").alias("last")
+            )
+        else:
+            came = came.select("digest", F.col("n").alias("group_size"), F.col("new").alias("last"))
+        came.write.mode("overwrite").parquet(f"{state}/batch={number}")
+
+    stream = spark.readStream.schema(keys.schema).option("maxFilesPerTrigger", files).parquet(cuts.path("keys"))
+    stream.writeStream.foreachBatch(update).option("checkpointLocation", cuts.path("progress")).trigger(availableNow=True).start().awaitTermination()
+    return entries()
 
 
 def deduplicate(
@@ -93,7 +87,7 @@ def deduplicate(
     base = base.withColumn("digest", digest(F.col("folded")))
     keys = cuts.write(base.select("doc_id", "locator", "digest"), "keys")
     states = cuts.write(groups(keys, cuts, files), "groups")
-    cuts.drop("states", "state")
+    cuts.drop("states", "progress")
 
     many = states.where("group_size > 1").select("digest", F.col("last.locator").alias("first"))
     hits = cuts.write(base.join(many, "digest"), "hits")
