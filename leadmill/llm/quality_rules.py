@@ -30,8 +30,8 @@ SKETCH_K = 800
 MEASURES = {
     "word_len": (1.0, True),
     "symbol_share": (0.25, False),
-    "dup_line_share": (0.3, False),
-    "repeat_share": (0.2, False),
+    "dup_line_share": (0.5, False),
+    "repeat_share": (0.35, False),
     "exclaim_share": (0.25, False),
 }
 
