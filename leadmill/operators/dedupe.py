@@ -193,8 +193,8 @@ def resolve(edges: DataFrame) -> DataFrame:
     remaining earlier neighbours that does not rule itself out is certainly a match, or none
     remains (then it is kept). A neighbour kept without a place takes the place of its first
     match, so while its place is open only the earliest waiting group may claim it. The
-    earliest unsettled group always settles, so the rounds end. Tables of a round are deleted
-    once the next one is written.
+    earliest unsettled group always settles, so the rounds end. A round's edges are
+    deleted once the next round's are written; its choices are part of the result.
     """
     state = edges.withColumns(
         {"u_open": F.col("u_late"), "u_gone": F.lit(False), "u_city": F.col("u_place")}
@@ -221,18 +221,22 @@ def resolve(edges: DataFrame) -> DataFrame:
             .otherwise("unknown"),
         )
         order = F.struct("u_late", "u")
-        live = F.col("verdict") != "no"
+        # edges that are ruled out stay so, and behind a certain match nothing counts: both go
+        judged = judged.withColumn("turn", order)
         choice = judged.groupBy("v").agg(
-            F.min_by(F.struct("verdict", "u", "u_city", "v_place"), F.when(live, order)).alias("c")
+            F.min_by(F.struct("verdict", "u", "u_city", "v_place"), F.when(F.col("verdict") != "no", F.col("turn"))).alias("c"),
+            F.min(F.when(F.col("verdict") == "yes", F.col("turn"))).alias("stop"),
         )
-        settled = checkpoint(
-            choice.filter("c IS NULL OR c.verdict = 'yes'").select(
-                F.col("v").alias("s"), F.col("c.u").alias("to"), F.col("c.u_city").alias("had"),
-                F.col("c.v_place").alias("gave"),
-            )
+        choice = checkpoint(choice)
+        settled = choice.filter("c IS NULL OR c.verdict = 'yes'").select(
+            F.col("v").alias("s"), F.col("c.u").alias("to"), F.col("c.u_city").alias("had"), F.col("c.v_place").alias("gave")
         )
         done.append(settled)
-        left = state.join(settled.select("s"), state["v"] == F.col("s"), "left_anti")
+        open_ = choice.filter("c IS NOT NULL AND c.verdict <> 'yes'").select(F.col("v").alias("o"), "stop")
+        left = (
+            judged.filter("verdict <> 'no'").join(open_, judged["v"] == F.col("o"))
+            .filter(F.col("stop").isNull() | (F.col("turn") <= F.col("stop"))).select(*state.columns)
+        )
         moved = settled.select(F.col("s").alias("m"), F.col("to"))
         left = left.join(moved, left["u"] == F.col("m"), "left").withColumns(
             {

@@ -179,9 +179,12 @@ def similar_pairs(names: DataFrame, partners: int = PARTNERS, cuts: tuple = CUTS
             found = found.unionAll(_deletion_matches(todo.filter((k <= 4) & few), names))
             todo = todo.filter((k > 4) | ~few)
         shapes = todo.select(n.alias("l1"), "l2").distinct()
-        b = checkpoint(longer_pieces(names, shapes, m))
+        # only keys that the shorter side asks for are kept of the longer side, before anything is written
+        asked = checkpoint(shorter_pieces(todo, m))
+        wanted = asked.select("key").distinct()
+        b = checkpoint(longer_pieces(names, shapes, m).join(wanted, "key", "left_semi"))
         plan = checkpoint(
-            _partners(shorter_pieces(todo, m), b).withColumn("done", (F.col("cost") <= partners) | F.lit(last))
+            _partners(asked, b).withColumn("done", (F.col("cost") <= partners) | F.lit(last))
         )
         a = plan.filter("done").select("name", "cand", F.explode("use.key").alias("key"))
         found = found.unionAll(_matches(a, b))
