@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ["scoring", "leads", "normalize", "crawl", "extract", "imports", "streams"]
+TOPICS = ["scoring", "leads", "normalize", "crawl", "extract", "imports", "streams", "gaps"]
 
 
 def load() -> None:
