@@ -172,10 +172,21 @@ DETAIL_FIELDS = [
     "signals", "breakdown", "notes", "source", "import_id",
 ]
 
+FIELD_TYPES = {
+    "id": "bigint", "employee_count": "bigint", "score": "int", "last_enriched_at": "timestamp", "created_at": "timestamp",
+    "founded_year": "int", "copyright_year": "int", "revenue_estimate": "bigint", "tech_stack": "array<string>",
+    "socials": "map<string,string>", "signals": "map<string,string>", "import_id": "bigint",
+    "breakdown": "array<struct<rule:string,points:int,reason:string>>",
+}
+
 
 def lead_rows(leads: DataFrame, contacts: DataFrame, detail: bool = False) -> DataFrame:
-    """List (or detail) rows with best contact, contact count and the main reasons."""
-    fields = [c for c in LIST_FIELDS + (DETAIL_FIELDS if detail else []) if c in leads.columns]
+    """List (or detail) rows with best contact, contact count and the main reasons; a column that the
+    leads do not have is NULL."""
+    fields = [
+        F.col(c) if c in leads.columns else F.lit(None).cast(FIELD_TYPES.get(c, "string")).alias(c)
+        for c in LIST_FIELDS + (DETAIL_FIELDS if detail else [])
+    ]
     reasons = top_reasons("breakdown", 3 if detail else 2)
     return (
         leads.select(*fields, reasons.alias("top_reasons"))

@@ -152,11 +152,11 @@ def _flat(df):
   WHERE k <= 2 GROUP BY id)
 SELECT l.id, l.name, l.domain, l.industry, l.state, l.country, l.employee_count, l.score, l.grade, l.stage,
   l.website_status, coalesce(b.contacts_count, 0) AS contacts_count, b.full_name AS contact_name,
-  b.email AS contact_email, coalesce(w.reasons, '') AS reasons
+  b.email AS contact_email, coalesce(w.reasons, '') AS reasons, CAST(NULL AS VARCHAR) AS website_url, CAST(NULL AS VARCHAR) AS city
 FROM leads l LEFT JOIN best b ON b.company_id = l.id LEFT JOIN why w USING (id)""")
 def lead_rows(spark, sf):
     out = _flat(ld.lead_rows(leads(spark, sf), contact(spark, sf)))
-    return out.withColumn("reasons", F.array_join("top_reasons", "; ")).drop("top_reasons")
+    return out.withColumn("reasons", F.array_join("top_reasons", "; ")).drop("top_reasons", "last_enriched_at", "created_at")
 
 
 @query("lead_page_rows", f"""{LEADS_SQL}, {BEST_SQL}
