@@ -92,8 +92,8 @@ def deduplicate(
     many = states.where("group_size > 1").select("digest", F.col("last.locator").alias("first"))
     hits = cuts.write(base.join(many, "digest"), "hits")
     held = hits.where("locator = first").select("digest", F.col("folded").alias("known"))
-    unlike = hits.join(held, "digest").where("folded <> known").select("digest").distinct()
-    unlike = cuts.write(unlike, "unlike")
+    # no aggregation on top: so a digest with very many hits can be split between tasks
+    unlike = cuts.write(hits.join(held, "digest").where("folded <> known").select("digest"), "unlike")
     split = hits.join(unlike, "digest", "left_semi").select("doc_id", "locator", "digest", "folded")
     exact = split.groupBy("digest", "folded").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "locator")).alias("last"))
     parted = cuts.write(
