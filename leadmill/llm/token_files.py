@@ -17,6 +17,7 @@ written each, in order of id and text hash; rows with a null doc_id come first;
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -38,13 +39,17 @@ BATCH = 256
 REMEMBERED = 1_000_000
 #: Separators that Python splits at and the tokenizer does not.
 _ODD = frozenset("\x1c\x1d\x1e\x1f")
+#: A word of Latin letters, none of which changes its kind in lower case, and the marks behind it.
+_MARKED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([.,;:!?]+)").fullmatch
 
 
 class ChunkEncoder:
     """Encodes texts with a tokenizer that drops white space, chunk by chunk.
 
     Such a tokenizer treats the text between two white spaces alike wherever it stands, so each distinct chunk
-    is encoded once and remembered. Plain ASCII texts are lower-cased first if the tokenizer does so too.
+    is encoded once and remembered; where it parts letters from the marks behind them, a word and its marks
+    are. Texts of Latin letters are lower-cased first if the tokenizer does so too. Each of these properties is
+    asked of the tokenizer beforehand.
     """
 
     def __init__(self, path: str):
@@ -54,35 +59,42 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = "H" if self.size <= 1 << 16 else "I"
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         plain = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
-        self.lowers = all(plain(c) == plain(c.lower()) for c in map(chr, range(65, 91)))
         if plain("a b") != plain("a") + plain("b") or plain("a\n\t b") != plain("a b"):
             raise ValueError("the tokenizer keeps white space")
+        self.lowers = all(plain(c) == plain(c.lower()) for c in map(chr, [*range(65, 91), *range(0xC0, 0x130)]))
+        self.parts = all(plain(w + m) == plain(w) + plain(m) for w in ("a", "the", "\xe9t\xe9", "zq") for m in (".", ",", "?!", ";:", "..."))
         self.known: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()
 
+    def _learn(self, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), 20_000):
+            part = chunks[at : at + 20_000]
+            made = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update((w, self._pack(e.ids)) for w, e in zip(part, made, strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native unsigned integers of ``kind``."""
         cut: list[list[str] | None] = []
         for t in texts:
-            if not _ODD.isdisjoint(t):
+            letters = set(t)
+            if not _ODD.isdisjoint(letters):
                 cut.append(None)
-            elif self.lowers and t.isascii() and "<" not in t:
+            elif self.lowers and "<" not in letters and max(letters, default="") < "\u0130":
                 cut.append(t.lower().split())
             else:
                 cut.append(t.split())
-        fresh = list(set().union(*(c for c in cut if c)).difference(self.known))
+        fresh = set().union(*(c for c in cut if c)).difference(self.known)
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known.clear()
-            fresh = list(set().union(*(c for c in cut if c)))
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            made = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, self._pack(e.ids)) for w, e in zip(part, made, strict=True))
+            fresh = set().union(*(c for c in cut if c))
+        marked = {w: m.groups() for w in fresh if (m := _MARKED(w))} if self.parts else {}
+        alone = (fresh - marked.keys()).union(*marked.values()) if marked else fresh
+        self._learn(list(alone.difference(self.known)))
         get = self.known.__getitem__
+        self.known.update((w, get(a) + get(b)) for w, (a, b) in marked.items())
         return [
             self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if c is None else b"".join(map(get, c))
             for t, c in zip(texts, cut, strict=True)
