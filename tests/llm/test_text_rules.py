@@ -94,6 +94,38 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     assert all(got[200 + i] == "" for i in range(30)) and got[0] == named(plain_spans(rows[0][1]))
 
 
+def test_neighbouring_identifiers_are_found_one_by_one(spark):
+    """Lists of identifiers a space, a comma or a sentence apart, with and without a base span among them."""
+    rows = [(i, f"For help please call +1 (512) 555-{1000 + i} during the day.") for i in range(40)]
+    rows += [(100 + i, f"Then write to u{i}@site.org, +1 (375) 555-{4000 + i} for answers.") for i in range(40)]
+    given = {
+        200: ("Please call 512 555 7777, 512 555 8888 during the day.", "512 555 7777|512 555 8888"),
+        201: ("Please call 512 555 7777, 512 555 8888; 512 555 9999 during the day.", "512 555 7777|512 555 8888|512 555 9999"),
+        202: ("Please call +1 (512) 555-1000, 512 555 8888 during the day.", "512 555 8888"),
+        203: ("Then write to jane@x.org, 555-123-4567 for answers.", "555-123-4567"),
+        204: ("Please call 512-555-7777 512-555-8888 during the day.", "512-555-7777|512-555-8888"),
+        205: ("Then write to jane@localhost 555-123-4567 for answers.", "jane@localhost|555-123-4567"),
+        206: ("Please call 512 555 7777. 2024 was a good year.", "512 555 7777"),
+        207: ("In 2019, 2020 and 1024 768 there were 12, 13 or 14 of them.", ""),
+    }
+    rows += [(i, t) for i, (t, _) in given.items()]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, (text, want) in given.items():
+        base = set(filter(None, named(plain_spans(text)).split(",")))
+        more = [s.split(":") for s in got[i].split(",") if s and s not in base]
+        assert [text[int(a) : int(b)] for _, a, b in more] == list(filter(None, want.split("|"))), (text, got[i])
+    assert all(got[i] == named(plain_spans(t)) for i, t in rows if i < 200)
+
+
+def test_every_base_span_is_a_seed(spark):
+    texts = odd_texts()[:1500] + ["card 4111 1111 1111 1111 a@b.co end", "+1  222 333 4444 tail", " ".join(f"10.0.{i % 256}.{i % 200}" for i in range(5000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    cuts = Cuts(spark, "test")
+    scanned = pii.scan(docs, cuts)
+    seeds = {(r.doc_id, r.start, r.seed, r.end, r.value) for r in pii._mentions(scanned).where("seed is not null").join(scanned.select("row", "doc_id"), "row").collect()}
+    assert seeds == {(i, s, k, e, t[s:e]) for i, t in enumerate(texts) for s, k, e in plain_spans(t)}
+
+
 def test_redaction(spark):
     rows = [(1, "mail x@y.fr, call +1 (375) 555-4393 😀 10.0.0.1!", 48), (2, "nothing", 7), (3, None, None), (1, "other a@b.co", 12), (2, "nothing", 7)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
