@@ -50,6 +50,38 @@ def removal_counts(spark, sf):
     return dd.removal_counts(thin_log(spark, sf))
 
 
+#: As THIN, with names of which those of four rows in a row are nearly equal.
+NEAR = """SELECT c_custkey AS seq, CASE c_custkey % 5 WHEN 0 THEN ' ,- ' WHEN 1 THEN NULL ELSE concat('Mill ', substr(md5(CAST(c_custkey - c_custkey % 4 AS STRING)), 1, 28),
+    CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'a' WHEN 2 THEN 'b' ELSE 'cc' END) END AS name,
+  CASE c_custkey % 3 WHEN 0 THEN concat('https://c', c_custkey % 400, '-shop.com/x') WHEN 1 THEN 'n/a' END AS website,
+  CASE WHEN c_custkey % 7 = 0 THEN concat('desk@m', c_custkey % 50, '-mail.com') WHEN c_custkey % 7 = 1 THEN concat('c', c_custkey, '@gmail.com') END AS email FROM {customer}"""
+NEAR_SQL = f"""{THIN_SQL.replace(mart.sql_text(THIN), mart.sql_text(NEAR))},
+e AS (SELECT d.seq, d.decision, t.domain, CASE WHEN t.seq % 5 > 1 THEN t.seq - t.seq % 4 END AS near FROM d JOIN t USING (seq)),
+w AS (SELECT *, min(seq) FILTER (decision = 'keep') OVER (PARTITION BY near) AS firm, min(seq) FILTER (decision = 'open') OVER (PARTITION BY near) AS late,
+  min(seq) FILTER (decision = 'keep') OVER (PARTITION BY domain) AS first FROM e),
+f AS (SELECT seq, CASE WHEN decision <> 'open' THEN decision WHEN coalesce(firm, late) = seq THEN 'keep' ELSE 'fuzzy' END AS decision,
+  CASE WHEN decision = 'open' THEN coalesce(firm, late) WHEN decision IN ('keep', 'exact') THEN first END AS keeper FROM w)"""
+
+
+def near_log(spark, sf):
+    known = table(spark, sf, "customer").filter("c_custkey < 100").select(F.concat(F.lit("c"), "c_custkey", F.lit("-shop.com")).alias("domain"))
+    return dd.dedupe(mart.view(spark, sf, NEAR), known)
+
+
+@query("dedup_log_full", f"{NEAR_SQL} SELECT seq, decision, keeper FROM f")
+def dedup_log_full(spark, sf):
+    """The whole log, name pass included: all five decisions with their keeper."""
+    return near_log(spark, sf).select("seq", "decision", "keeper")
+
+
+@query("removal_counts_full", f"""{NEAR_SQL} SELECT count(*) AS rows, count(*) FILTER (decision = 'keep') AS kept, count(*) FILTER (decision <> 'keep') AS removed,
+  count(*) FILTER (decision = 'no_identity') AS no_identity, count(*) FILTER (decision = 'existing') AS existing, count(*) FILTER (decision = 'exact') AS exact,
+  count(*) FILTER (decision = 'fuzzy') AS fuzzy FROM f""")
+def removal_counts_full(spark, sf):
+    """Removed rows of the whole dedup; ``removal_counts`` stops before the name pass."""
+    return dd.removal_counts(near_log(spark, sf))
+
+
 # ---- stored pages ----
 
 FETCHED = """SELECT page_id, url, CASE page_id % 6 WHEN 0 THEN 404 WHEN 1 THEN 503 ELSE 200 END AS http_status,
