@@ -87,6 +87,18 @@ def test_character_references(spark):
         ("&#128512; &notathing; &#xD800; & &#0;", "😀 &notathing; &#xD800; & &#0;"), ("plain", "plain"), ("&lt;", "<"), (None, None)])
 
 
+def test_references_of_html5(spark):
+    cases = [
+        ("info&commat;acme&period;com", "info@acme.com"), ("&lpar;512&rpar; 555-0100", "(512) 555-0100"), ("&plus;44 20", "+44 20"),
+        ("&copy 2009", "\u00a9 2009"), ("&copy2009 &AMP &#169 2009 &#xA9.", "\u00a92009 & \u00a9 2009 \u00a9."), ("&#146;s &#x80; &#129;", "\u2019s \u20ac \x81"),
+        ("a&NonBreakingSpace;b&nbsp c", "a b  c"), ("&Afr;&NotEqualTilde;", "\U0001d504\u2242\u0338"), ("&commat &#99999999999; &#;", "&commat &#99999999999; &#;"),
+        ("&#00000000064;", "@")]
+    check(spark, tx.decode_entities, cases)
+    check(spark, lambda c: tx.decode_entities(c, attribute=True), [("?a=1&copy=2&reg &amp;&copy2", "?a=1&copy=2\u00ae &&copy2")])
+    page = "<body><p>info&commat;acme&period;com</p><p>&copy 2009 Acme</p></body>"
+    check(spark, tx.html_text, [(page, "info@acme.com \u00a9 2009 Acme")])
+
+
 def test_deobfuscate_and_title_case(spark):
     check(spark, tx.deobfuscate, [
         ("moira {at} quarry {dot} ltd", "moira@quarry.ltd"), ("moira( AT )quarry[dot]co[dot]nz", "moira@quarry.co.nz"),
