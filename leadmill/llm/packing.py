@@ -89,7 +89,7 @@ def words(text: Column) -> Column:
 
 def same_words(text: Column) -> Column:
     """Default duplicate cluster: 64 bits of the text without case and anything but letters and digits."""
-    return F.xxhash64(F.regexp_replace(fold(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+", " "))
+    return F.xxhash64(F.trim(F.regexp_replace(fold(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+", " ")))
 
 
 def pack(

@@ -226,3 +226,12 @@ def test_queries_are_registered(spark):
     folder = "/root/testdata/sf0.001"
     turns = spark.read.parquet(f"{folder}/conversations.parquet").count()
     assert queries.QUERIES["op7_chat_repair"](spark, folder).count() == turns
+
+
+def test_marks_at_the_ends_do_not_part_clusters(spark):
+    texts = ["Hello world.", "Hello world", " hello, WORLD!", "Hello word"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("source", F.col("doc_id").cast("string"))
+    found = {r.doc_id: r.c for r in rows.select("doc_id", packing.same_words(F.col("text")).alias("c")).collect()}
+    assert found[0] == found[1] == found[2] != found[3]
+    bins = {r.doc_id: r.bin_id for r in packing.pack(rows).collect()}
+    assert len({bins[0], bins[1], bins[2]}) == 3
