@@ -17,7 +17,7 @@ def messy(spark):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame(MESSY, COLUMNS).repartition(3)
-    clash = ["fp", "node", "digest", "locator", "row", "base", "spans", "start", "cell", "seq", "shard", "cluster", "length", "t", "w", "kept", "score", "component_id", "limit", "n"]
+    clash = ["_place", "_metadata", "_key", "_doc", "_mark", "_spans", "_gone", "hits", "words", "lead", "row", "fp", "node", "digest", "locator", "base", "spans", "start", "cell", "seq", "shard", "cluster", "length", "t", "w", "kept", "score", "component_id", "limit", "n"]
     return docs.withColumns({c: F.lit("extra") for c in clash})
 
 
