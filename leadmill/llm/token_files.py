@@ -22,6 +22,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,26 +31,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadmill.llm.bpe import byte_letters
 from leadmill.llm.common import Cuts, arrow_schema, texts_of
 
 LENGTH = 2048
 #: Sequences of a record batch.
 BATCH = 256
-#: Encoded chunks a Python worker remembers at most; it forgets all of them when full.
+#: Encoded chunks and words that a Python worker remembers, but for one text's; it forgets all when it holds more.
 REMEMBERED = 1_000_000
 #: Separators that Python splits at and the tokenizer does not.
 _ODD = frozenset("\x1c\x1d\x1e\x1f")
-#: A word of Latin letters, none of which changes its kind in lower case, and the marks behind it.
-_MARKED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([.,;:!?]+)").fullmatch
+#: Letters, single numbers and runs of marks, as the tokenizers that are taken here cut lower-cased text.
+_WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
 
 
-class ChunkEncoder:
-    """Encodes texts with a tokenizer that drops white space, chunk by chunk.
+class WordEncoder:
+    """Encodes texts with a byte-level tokenizer that drops white space, word by word.
 
-    Such a tokenizer treats the text between two white spaces alike wherever it stands, so each distinct chunk
-    is encoded once and remembered; where it parts letters from the marks behind them, a word and its marks
-    are. Texts of Latin letters are lower-cased first if the tokenizer does so too. Each of these properties is
-    asked of the tokenizer beforehand.
+    Such a tokenizer treats the text between two white spaces (a chunk) alike wherever it stands, and parts it into
+    letters, single numbers and marks. So a chunk is cut here, each word is put once through the tokenizer's own
+    merges, and chunks and words are remembered. All words of the vocabulary are proved beforehand to be one token.
+
+    That a text may be cut here is asked of the tokenizer, not assumed: of every character, once, whether it lower-cases
+    and parts letters and marks as it does in the tokenizer. Texts with other characters, with special strings or not in normal
+    form are encoded chunk by chunk with the whole tokenizer, and those with odd separators as a whole.
     """
 
     def __init__(self, path: str):
@@ -59,51 +64,98 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = "H" if self.size <= 1 << 16 else "I"
+        self.letters = str.maketrans({chr(b): c for c, b in byte_letters().items()})
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         plain = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
         if plain("a b") != plain("a") + plain("b") or plain("a\n\t b") != plain("a b"):
             raise ValueError("the tokenizer keeps white space")
-        self.lowers = all(plain(c) == plain(c.lower()) for c in map(chr, [*range(65, 91), *range(0xC0, 0x130)]))
-        self.parts = all(plain(w + m) == plain(w) + plain(m) for w in ("a", "the", "\xe9t\xe9", "zq") for m in (".", ",", "?!", ";:", "..."))
-        self.known: dict[str, bytes] = {}
+        tried = ["the", "zq", "\xe9t\xe9", "?!", "'s", "7", "\u4e2d", "\U0001f600"]
+        self.cuts = all(plain(w) == self._merged(w) for w in tried) and plain("It's 3.14!") == [i for w in _WORD("it's 3.14!") for i in self._merged(w)]
+        self.agreed: set[str] = set()
+        self.asked: set[str] = set()
+        self.proved = self._prove() if self.cuts else {}
+        self.known = dict(self.proved)
+
+    def _merged(self, word: str) -> list[int]:
+        """The merges of the tokenizer on the bytes of one word."""
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters))]
+
+    def _prove(self) -> dict[str, bytes]:
+        """Vocabulary strings that are one word and come out as their own single token."""
+        back = byte_letters()
+        proved = {}
+        for string, own in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            try:
+                word = bytes(back[c] for c in string.removesuffix("</w>")).decode()
+            except (KeyError, UnicodeDecodeError):
+                continue
+            if _WORD(word) == [word] and self._merged(word) == [own]:
+                proved[word] = self._pack([own])
+        return proved
+
+    def _agrees(self, c: str) -> bool:
+        """Whether ``c`` is lower-cased and parts letters and marks here as in the tokenizer."""
+        probe = f"a{c}!{c}a"
+        folded = self.tokenizer.normalizer.normalize_str(probe) if self.tokenizer.normalizer else probe
+        if c.isspace():
+            return c not in _ODD and self.tokenizer.encode(probe, add_special_tokens=False).ids == self.tokenizer.encode("a ! a", add_special_tokens=False).ids
+        if folded != probe.lower() or len(folded) != len(probe):
+            return False
+        here, at = [], 0
+        for w in _WORD(folded):
+            here.append((at, at + len(w)))
+            at += len(w)
+        return at == len(folded) and here == [place for _, place in self.tokenizer.pre_tokenizer.pre_tokenize_str(folded)]
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            made = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, self._pack(e.ids)) for w, e in zip(part, made, strict=True))
+    def _whole(self, text: str) -> bytes:
+        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _may_cut(self, text: str, letters: set[str]) -> bool:
+        if not self.cuts:
+            return False
+        fresh = letters - self.asked
+        if fresh:
+            self.asked |= fresh
+            self.agreed.update(c for c in fresh if self._agrees(c))
+        # a sigma at the end of a word has a lower-case letter of its own in Python only
+        return letters <= self.agreed and "\u03a3" not in letters and is_normalized("NFC", text) and not any(s in text for s in self.special)
+
+    def _chunk(self, chunk: str) -> bytes:
+        made = None if chunk.isalpha() else _WORD(chunk)
+        if made is None or len(made) == 1:
+            return self._pack(self._merged(chunk))
+        known = self.known
+        for word in made:
+            if word not in known:
+                known[word] = self._pack(self._merged(word))
+        return b"".join(map(known.__getitem__, made))
+
+    def _encode(self, text: str) -> bytes:
+        letters = set(text)
+        if not _ODD.isdisjoint(letters):
+            return self._whole(text)
+        if len(self.known) > REMEMBERED:
+            self.known = dict(self.proved)
+        known = self.known
+        if self._may_cut(text, letters):
+            chunks, make = text.lower().split(), self._chunk
+        else:  # under a key that no chunk has
+            chunks, make = ["\x1c" + c for c in text.split()], lambda c: self._whole(c[1:])
+        for chunk in set(chunks).difference(known):
+            known[chunk] = make(chunk)
+        return b"".join(map(known.__getitem__, chunks))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native unsigned integers of ``kind``."""
-        cut: list[list[str] | None] = []
-        for t in texts:
-            letters = set(t)
-            if not _ODD.isdisjoint(letters):
-                cut.append(None)
-            elif self.lowers and "<" not in letters and max(letters, default="") < "\u0130":
-                cut.append(t.lower().split())
-            else:
-                cut.append(t.split())
-        fresh = set().union(*(c for c in cut if c)).difference(self.known)
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = set().union(*(c for c in cut if c))
-        marked = {w: m.groups() for w in fresh if (m := _MARKED(w))} if self.parts else {}
-        alone = (fresh - marked.keys()).union(*marked.values()) if marked else fresh
-        self._learn(list(alone.difference(self.known)))
-        get = self.known.__getitem__
-        self.known.update((w, get(a) + get(b)) for w, (a, b) in marked.items())
-        return [
-            self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if c is None else b"".join(map(get, c))
-            for t, c in zip(texts, cut, strict=True)
-        ]
+        return list(map(self._encode, texts))
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def place(uri: str) -> tuple[pafs.FileSystem, str]:

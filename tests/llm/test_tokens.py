@@ -105,6 +105,19 @@ def plain_merge(word, tokens):
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
+@pytest.mark.parametrize("held", [1_000_000, 30])
+def test_word_encoder_equals_the_library(odd, monkeypatch, held):
+    """Any code points, by the words where the tokenizer agrees on the cuts."""
+    monkeypatch.setattr(token_files, "REMEMBERED", held)
+    pick, lib, made = random.Random(held), library("word_bpe_49k.json"), token_files.WordEncoder(P.path("word_bpe_49k.json"))
+    assert made.cuts and len(made.proved) > 30_000
+    planes = [(0, 0x250), (0x80, 0x3000), (0x3000, 0xD7FF), (0xE000, 0x1FFFF)]
+    texts = ["".join(pick.choice(["a", " ", "!", "1", "'", "Word", chr(pick.randint(*pick.choice(planes)))]) for _ in range(pick.randint(1, 12))) for _ in range(6000)]
+    texts += odd + ["(word) word's 3.14 e.g. <b>x</b> a|startoftext|", "x <|startoftext|>y", "Ὀδυσσεύς ΟΔΥΣΣΕΥΣ", "straße STRASSE Čeština"]
+    for t, ids in zip(texts, made.encode(texts), strict=True):
+        assert np.frombuffer(ids, np.uint16).tolist() == lib.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def test_token_files_equal_the_library(spark, frame, odd):
     lib = library("word_bpe_49k.json")
     got = {r.doc_id: r for r in token_files.write_and_read(frame, P.path("word_bpe_49k.json"), 2).collect()}
