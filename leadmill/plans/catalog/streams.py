@@ -51,15 +51,16 @@ def stream_intake(spark, sf):
 
 
 LEAD_FILE = """SELECT c_mktsegment AS segment, c_name AS name, CASE WHEN c_custkey % 7 = 0 THEN 'n/a' ELSE concat('c', c_custkey, '-shop.com') END AS website,
-  CASE WHEN c_custkey % 5 = 0 THEN concat('He said "', c_mktsegment, '", twice') ELSE c_mktsegment END AS sector, concat(c_custkey % 90, '-99') AS staff FROM {customer}"""
+  CASE WHEN c_custkey % 5 = 0 THEN concat('He said "', c_mktsegment, '",', chr(10), 'twice; or once') WHEN c_custkey % 5 = 1 THEN concat('Caf', chr(233), ' ', c_mktsegment) ELSE c_mktsegment END AS sector,
+  concat(c_custkey % 90, '-99') AS staff FROM {customer}"""
 
 
 def _lead_files(spark, sf, folder):
-    """The customers as delimited files, one or more per market segment, in two dialects."""
+    """The customers as delimited files in two dialects and encodings, with breaks and delimiters inside quotes."""
     rows = mart.view(spark, sf, LEAD_FILE)
-    for at, part in enumerate(("segment < 'F'", "segment >= 'F'")):
-        rows.filter(part).repartition("segment").select("name", "website", "sector", "staff").write.option("header", "true").option(
-            "delimiter", ",;"[at]).option("escape", '"').csv(f"{folder}/in/{at}")
+    for part, delimiter, encoding in (("segment < 'F'", ",", "UTF-8"), ("segment >= 'F'", ";", "ISO-8859-1")):
+        rows.filter(part).select("name", "website", "sector", "staff").write.option("header", "true").option(
+            "delimiter", delimiter).option("escape", '"').option("encoding", encoding).csv(f"{folder}/in/{encoding}")
 
 
 FILE_ROWS = f"""SELECT name, CASE WHEN website <> 'n/a' THEN website END AS website, sector AS industry, CAST(regexp_extract(staff, '^[0-9]+') AS BIGINT) AS employees

@@ -1,23 +1,18 @@
 """Delimited lead files of any encoding, delimiter and header, many files at a time.
 
-Every file is one import. Encoding, delimiter and header mapping are found per file by column
-expressions; its records are then read in the same task.
+Every file is one import. Encoding, delimiter and header mapping are found per file by column expressions; its records
+are read in as many tasks as the file has splits (see ``records``).
 """
 
 from __future__ import annotations
 
-import csv
-import io
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadmill import lexicons as lx
 from leadmill.functions.normalize import blank_to_null, canonical_domain, parse_number
 from leadmill.session import checkpoint
+from leadmill.sources import records as rc
 
 FIELDS = list(lx.HEADER_SYNONYMS)
 
@@ -62,32 +57,14 @@ def infer_delimiter(line: Column) -> Column:
     return F.when(best["n"] > 0, best["d"]).otherwise(",")
 
 
-def first_looks(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, bytes, encoding, delimiter, header, content): one row per file.
-
-    Whole contents are only touched to test the encoding, inside the scan task.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(utf8, F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
-    line = F.regexp_replace(F.regexp_extract(text, r"^﻿?([^\r\n]*)", 1), "^﻿", "")
-    return files.select(
-        F.col("path").alias("file"),
-        F.col("length").alias("bytes"),
-        F.when(utf8, "UTF-8").otherwise("ISO-8859-1").alias("encoding"),
-        infer_delimiter(line).alias("delimiter"),
-        line.alias("header"),
-        "content",
-    )
+def file_looks(parts: DataFrame) -> DataFrame:
+    """(file, bytes, encoding, header, delimiter): one row per file, from its ranges."""
+    return rc.first_lines(parts).withColumn("delimiter", infer_delimiter(F.col("header")))
 
 
 def header_cells() -> Column:
     """Cells of the header line, quotes removed."""
-    bar = F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))
-    return F.transform(
-        F.split("header", bar),
-        lambda c: F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"')),
-    )
+    return rc.cells(F.col("header"))
 
 
 def header_table(looks: DataFrame) -> DataFrame:
@@ -137,54 +114,30 @@ def skip_nameless(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(~lost), counts.withColumn("warning", F.when(F.col("skipped") > 0, text))
 
 
-def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Records of whole files, in file order; blank lines do not count as records."""
-    columns = ["file", "row_number", *FIELDS]
-    csv.field_size_limit(sys.maxsize)
-    for files in batches:
-        for f in files.itertuples(index=False):
-            text = bytes(f.content).decode("utf-8-sig" if f.encoding == "UTF-8" else "latin-1")
-            places = [(i, name) for i, name in enumerate(f.fields) if name is not None]
-            number, rows = 0, []
-            for cells in csv.reader(io.StringIO(text, newline=""), delimiter=f.delimiter):
-                if not cells:
-                    continue
-                number += 1
-                if number == 1:
-                    continue
-                row = dict.fromkeys(columns)
-                row.update({name: cells[i] for i, name in places if i < len(cells)}, file=f.file, row_number=number)
-                rows.append(row)
-                if len(rows) == 10_000:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
-
-
 def read_leads(spark: SparkSession, path: str | list[str], max_bytes: int | None = None,
                max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lead rows, file report) of all files below ``path`` (one or more), rows numbered from 2.
 
-    A file is read whole by one task, as quoted line breaks demand, and its header mapping is
-    worked out in the same row, so neither contents nor file names pass through a shuffle or
-    the driver. The size and row limits of an interactive upload are off unless given; a file
-    over the row limit, counted in rows with a name or website, is rejected whole.
+    The size and row limits of an interactive upload are off unless given; a file over the row limit, counted in
+    rows with a name or website, is rejected whole.
     """
-    looks = first_looks(spark, path)
-    report = file_report(looks.drop("content"), map_headers(header_table(looks)), max_bytes)
-    named = looks.withColumn("cells", F.transform(header_cells(), header_field))
-    fields = F.transform(
-        "cells", lambda f, i: F.when(F.array_position(F.col("cells"), f) == i + 1, f)
-    )
-    usable = F.array_contains("cells", "domain") | F.array_contains("cells", "name")
+    return staged_leads(rc.staged(rc.text_lines(spark, path)), max_bytes, max_rows)
+
+
+def staged_leads(stage: DataFrame, max_bytes: int | None = None, max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same from staged lines."""
+    parts = checkpoint(rc.ranges(stage))
+    looks = checkpoint(file_looks(parts))
+    report = file_report(looks, map_headers(header_table(looks)), max_bytes)
+    named = looks.withColumn("named", F.transform(header_cells(), header_field))
+    fields = F.transform("named", lambda f, i: F.when(F.array_position(F.col("named"), f) == i + 1, f))
+    usable = F.array_contains("named", "domain") | F.array_contains("named", "name")
     if max_bytes is not None:
         usable = usable & (F.col("bytes") <= max_bytes)
-    files = named.filter(F.coalesce(usable, F.lit(False))).select(
-        "file", "encoding", "delimiter", fields.alias("fields"), "content"
-    )
-    schema = "file string, row_number bigint, " + ", ".join(f"{f} string" for f in FIELDS)
-    rows = files.mapInPandas(_records, schema)
+    files = named.filter(F.coalesce(usable, F.lit(False))).select("file", "encoding", "delimiter", fields.alias("fields"))
+    found = rc.cells_of_lines(stage, rc.starts(parts, files))
+    cell = lambda f: F.get("cells", F.array_position("fields", f).cast("int") - 1)
+    rows = found.select("file", "row_number", *[cell(f).alias(f) for f in FIELDS])
     if max_rows is not None:
         counted = skip_nameless(typed_rows(rows))[0]
         over = counted.groupBy("file").count().filter(F.col("count") > max_rows).select("file")

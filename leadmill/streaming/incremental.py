@@ -14,7 +14,8 @@ from leadmill import lexicons as lx
 from leadmill.operators.crawl import stale
 from leadmill.operators.stats import job_counters
 from leadmill.session import checkpoint
-from leadmill.sources.delimited import read_leads, skip_nameless
+from leadmill.sources import records as rc
+from leadmill.sources.delimited import skip_nameless, staged_leads
 
 
 def _existing(spark: SparkSession, schema: str, path: str) -> DataFrame:
@@ -28,7 +29,6 @@ def _existing(spark: SparkSession, schema: str, path: str) -> DataFrame:
 
 
 MARKS = "file string, run string"
-FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def intake(arrivals: DataFrame, make: Callable[[DataFrame], DataFrame], state: str, table: str) -> StreamingQuery:
@@ -36,11 +36,14 @@ def intake(arrivals: DataFrame, make: Callable[[DataFrame], DataFrame], state: s
 
     ``make`` turns the rows of new files into results. Results are written first, under the name
     of their run; then one small table marks the run's files as done. Results of a run without
-    marks are not read, and its files are imported again.
+    marks are not read, and its files are imported again. Lines of files (see ``file_arrivals``) are staged
+    in file order before anything is joined to them.
     """
     spark = arrivals.sparkSession
+    lines = {"block", "value"} <= set(arrivals.columns)
 
     def once(batch: DataFrame, batch_id: int) -> None:
+        batch = rc.staged(batch) if lines else batch
         done = _existing(spark, MARKS, f"{table}/marks")
         files = checkpoint(batch.select("file").distinct().join(done, "file", "left_anti"))
         if files.isEmpty():
@@ -64,18 +67,16 @@ def imported(spark: SparkSession, table: str) -> DataFrame:
 
 
 def file_arrivals(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Names of arriving files, at most ``files_per_batch`` in a batch; contents are not read."""
-    return (
-        spark.readStream.format("binaryFile").schema(FILE).option("maxFilesPerTrigger", str(files_per_batch))
-        .option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"))
+    """The lines of arriving files, at most ``files_per_batch`` files in a batch."""
+    return rc.as_lines(
+        spark.readStream.format("text").option("lineSep", "\n").option("maxFilesPerTrigger", str(files_per_batch))
+        .option("recursiveFileLookup", "true").load(path)
     )
 
 
 def read_arrived(batch: DataFrame) -> DataFrame:
-    """Lead rows of the arrived files, each file one import; as many names as a batch holds."""
-    files = [r.file for r in batch.select("file").distinct().collect()]
-    rows, _ = read_leads(batch.sparkSession, files)
-    return skip_nameless(rows)[0]
+    """Lead rows of the arrived files, each file one import; file names stay in the tables."""
+    return skip_nameless(staged_leads(batch)[0])[0]
 
 
 def progress(outcomes: DataFrame, timeout_ms: int = lx.LEAD_TIMEOUT_MS) -> DataFrame:
