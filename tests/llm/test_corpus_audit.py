@@ -3,9 +3,10 @@
 import math
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,7 +209,7 @@ def corpus():
     return rows + rows[:5]
 
 
-@pytest.mark.parametrize("limits", [{}, {"entries": 40, "pairs": 3, "tile": 2}])
+@pytest.mark.parametrize("limits", [{}, {"entries": 40, "pairs": 3, "tile": 2, "open_entries": 5}])
 def test_audit_equals_plain_sums(spark, limits):
     rows = corpus()
     frame = spark.createDataFrame(rows, "text string, lang string, source string").repartition(5).withColumns({c: F.lit("x") for c in ("term", "shard", "p", "q", "value", "rank", "head", "a", "b")})
@@ -226,16 +227,24 @@ def test_audit_cuts_ranks_and_long_texts(spark, monkeypatch):
     assert {tuple(r) for r in got.collect()} == plain_audit(rows)
 
 
-def test_merge_gives_each_term_once():
+@pytest.mark.parametrize("open_entries", [1, 7, 1000])
+def test_merge_gives_whole_terms_in_order(open_entries):
     pick = random.Random(4)
-    want, pieces = defaultdict(Counter), []
-    for _ in range(30):
-        terms = sorted({pick.choice("abcdefghij") for _ in range(pick.randint(1, 8))})
-        pieces.append({"lang": pick.choice(["x", "y"]), "head": terms[0], "terms": terms, "sources": ["s"] * len(terms), "counts": [2] * len(terms), "docs": [1] * len(terms)})
-        for t in terms:
-            want[pieces[-1]["lang"], t]["s"] += 2
-    got = list(source_divergence.merge(iter(sorted(pieces, key=lambda p: (p["lang"], p["head"])))))
-    assert [g[:2] for g in got] == sorted(want) and all(dict(want[g[:2]]) == g[2] and g[3] * 2 == g[2]["s"] for g in got)
+    want, pieces = Counter(), []
+    for _ in range(40):
+        terms = sorted(pick.choices("abcdefghij", k=pick.randint(1, 8)))
+        pieces.append((pick.choice(["x", "y"]), [pa.array(terms), pa.array(["s"] * len(terms)), pa.array([2] * len(terms)), pa.array([1] * len(terms))]))
+        want.update((pieces[-1][0], t) for t in terms)
+    got, done, now = Counter(), set(), set()
+    for lang, part in source_divergence.merge(iter(sorted(pieces, key=lambda p: (p[0], p[1][0][0].as_py()))), open_entries):
+        if part is None:
+            done |= now
+            now = set()
+        else:
+            now |= {(lang, t) for t in part[0].to_pylist()}
+            got.update((lang, t) for t in part[0].to_pylist())
+        assert not now & done  # a term is never given out again behind a mark
+    assert got == want and (open_entries > 100 or len(done) == len(want))
 
 
 def test_shares_of_large_counts_are_exact(spark):
