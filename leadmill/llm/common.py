@@ -43,6 +43,11 @@ def fold(text: Column) -> Column:
     )
 
 
+def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns named by place, so that no name can clash, and the new names of ``names``."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), [f"c{docs.columns.index(n)}" for n in names]
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, before: Callable | None = None) -> DataFrame:
     """Row batch to row batch; ``fn`` gets an Arrow batch and returns columns by name.
 

@@ -10,13 +10,16 @@ Base patterns find e-mail addresses, IP addresses, card and phone numbers. They
    around them; those of the other class count as the word ``@`` or ``0``. Distinct (pattern, instance) pairs form a
    bipartite graph.
 3. For ``ROUNDS`` rounds a pattern's score for a kind is the mean of its instances' scores, with one instance of
-   score 0 added, and an instance's score is that at least one of its patterns with ``MIN_SEEDS`` seeds is right.
+   score 0 added, and the score of an instance of the kind's shape is that at least one of its patterns is right. Instances
+   of ``CONFIDENT`` score count as seeds in the next round, and ``MIN_SEEDS`` make a pattern: so what one context
+   yields opens others.
 4. Mentions that fit the shape of a kind, beside a pattern whose score is at least ``CONFIDENT``, become spans of
    that kind, unless they overlap a base span.
 
 Nothing is collected: scores are tables, joined to the edges. Null texts count as empty; rows are told apart by
 their place in a written table, so repeated rows and ids do no harm; an empty table gives an empty result; other
-columns are ignored. Offsets are code points, ends exclusive.
+columns are ignored, whatever their names. Texts of any length are scanned whole, in linear time; of spans that overlap
+the first one's placeholder stays, and of kinds that score alike the first in ``KINDS``. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import Cuts
+from leadmill.llm.common import Cuts, numbered
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns. Runs are possessive and begin where a run begins (or the last match ended), which
@@ -48,7 +51,7 @@ _CHAR = rf"(?:[^\s@:{MARKS}]|(?<=[0-9]):(?=[0-9]))"
 PIECE = rf"{_CHAR}*+@(?:{_CHAR}|@)*+|{_CHAR}++(?!@)(?:(?<!\.)\x20{_CHAR}++(?!@))*+"
 EDGE = "[\"'()\\[\\]{}<>.,;:!?=]"
 CONTEXT = 64
-ROUNDS = 3
+ROUNDS = 4
 MIN_SEEDS = 3
 CONFIDENT = 0.6
 #: Shapes that a found identifier of a kind must have.
@@ -238,11 +241,12 @@ def discover(scanned: DataFrame, cuts: Cuts) -> DataFrame:
     per = lambda f: [f(r).cast("double").alias(f"k{r}") for r in range(len(KINDS))]
     score = edges.select("value", *per(lambda r: F.coalesce((F.col("seed") == r).cast("double"), F.lit(0.0)))).groupBy("value").agg(*(F.max(f"k{r}").alias(f"k{r}") for r in range(len(KINDS))))
     score = cuts.write(score, "instances-0")
+    known = F.greatest(*(F.col(f"k{r}") for r in range(len(KINDS)))) >= CONFIDENT
     for turn in range(1, ROUNDS + 1):
-        # of equal plans in each round only the last round's tables are kept
+        # of equal plans in each round only the last round's tables are kept; what the round before found counts as a seed
         mean = cuts.write(
             edges.join(score, "value").groupBy("pattern").agg(
-                F.count_if(F.col("seed").isNotNull()).alias("seeds"), *per(lambda r: F.sum(f"k{r}") / (F.count("*") + 1))
+                F.count_if(known).alias("seeds"), *per(lambda r: F.sum(f"k{r}") / (F.count("*") + 1))
             ).where(F.col("seeds") >= MIN_SEEDS).drop("seeds"),
             f"patterns-{turn}",
         )
@@ -250,9 +254,10 @@ def discover(scanned: DataFrame, cuts: Cuts) -> DataFrame:
             right = edges.join(mean, "pattern").groupBy("value", "seed").agg(*per(lambda r: 1 - F.exp(F.sum(F.log1p(-F.least(F.col(f"k{r}"), F.lit(1 - 1e-9)))))))
             own = edges.groupBy("value").agg(F.min("seed").alias("seed"))
             right = right.groupBy("value").agg(*per(lambda r: F.max(f"k{r}")))
+            fit = lambda r: F.when(F.col("value").rlike(SHAPES[KINDS[r]]), F.coalesce(f"k{r}", F.lit(0.0))).otherwise(F.lit(0.0))
             score = cuts.write(
                 own.join(right, "value", "left").select(
-                    "value", *per(lambda r: F.when(F.col("seed").isNotNull(), (F.col("seed") == r).cast("double")).otherwise(F.coalesce(f"k{r}", F.lit(0.0))))
+                    "value", *per(lambda r: F.when(F.col("seed").isNotNull(), (F.col("seed") == r).cast("double")).otherwise(fit(r)))
                 ),
                 f"instances-{turn}",
             )
@@ -282,7 +287,11 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tupl
     """row, doc_id, ``keep``, base and spans (base and discovered), both arrays of (start, rank, end) in order."""
     cuts = Cuts(docs.sparkSession, "pii")
     scanned = scan(docs, cuts, doc_id, text, keep)
-    added = cuts.write(discover(scanned, cuts), "added")
+    return with_added(scanned, cuts.write(discover(scanned, cuts), "added"))
+
+
+def with_added(scanned: DataFrame, added: DataFrame) -> DataFrame:
+    """The rows of a scan with ``spans``, base and added ones, in place of ``runs``."""
     extra = added.groupBy("row").agg(F.collect_set(F.struct("start", "rank", "end")).alias("extra"))
     return scanned.drop("runs").join(extra, "row", "left").withColumn(
         "spans", F.sort_array(F.concat("base", F.coalesce("extra", F.slice("base", 1, 0))))
@@ -318,15 +327,17 @@ def redact(text: Column, spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with personal data replaced. Rows meet their spans by id and a 64-bit hash of the text."""
-    mark = lambda: F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    spans = (
-        find(docs, doc_id, text, (mark().alias("_mark"),)).where(F.size("spans") > 0)
-        .select(F.col("doc_id").alias("_doc"), "_mark", F.col("spans").alias("_spans")).dropDuplicates(["_doc", "_mark"])
-    )
-    rows = docs.withColumn("_key", mark()).join(spans, F.col(doc_id).cast("bigint").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_mark")), "left")
-    clean = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(redact(F.col(text), F.col("_spans")))
-    out = rows.withColumn(text, clean)
+    """``docs`` with personal data replaced. The rows go along with the scan; only those that hold a digit or ``@``
+    meet the spans found, so all others pass through no shuffle."""
+    cuts = Cuts(docs.sparkSession, "pii")
+    plain, (own, body) = numbered(docs, doc_id, text)
+    scanned = scan(plain, cuts, own, body, (F.struct("*").alias("whole"),))
+    rest = scanned.where((F.size("runs") == 0) & (F.size("base") == 0)).select("whole.*")
+    some = with_added(scanned.where((F.size("runs") > 0) | (F.size("base") > 0)), cuts.write(discover(scanned, cuts), "added"))
+    rows = some.select("whole.*", "spans")
+    changed = F.size("spans") > 0
+    out = rows.withColumn(body, F.when(changed, redact(F.col(body).cast("string"), F.col("spans"))).otherwise(F.col(body)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(F.col(text))).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        n = numbered(docs, "n_chars")[1][0]
+        out = out.withColumn(n, F.when(changed, F.length(F.col(body))).otherwise(F.col(n)).cast(docs.schema["n_chars"].dataType))
+    return rest.unionByName(out.select(*plain.columns)).toDF(*docs.columns)

@@ -4,13 +4,17 @@ Every line gets a label, good or bad, from features of its own and of the lines
 forward-backward marginals of "good", weighted by line length, are a document's raw quality; a logistic
 calibration turns that into the score.
 
-Lines carry no labels of their own: for learning, each takes its document's. The field is fitted by gradient
-steps on at most ``SAMPLE_DOCS`` labelled documents, chosen by a hash of their ids; only their line features come
-to the driver, at most ``SAMPLE_LINES`` lines of a document, evenly spread. Scoring reads every whole text.
+Lines carry no labels of their own; they are latent. The field first takes each line to be as its document, then
+goes on with what it expects of the lines given that a document's label speaks for each of its lines with odds of
+``TRUST``: so a good text may hold bad lines, and neighbours learn from where labels change. Gradient steps on at
+most ``SAMPLE_DOCS`` labelled documents, chosen by a hash of their ids; only line features come to the driver, of texts
+with more than ``BLOCK_LINES`` lines those of one run of lines (placed by a hash of the text) with their true neighbours.
+Scoring reads every whole text, however long, line by line.
 
 Null and empty texts are one empty line and get a score as well; null ids or labels are not learned from; of
 repeated labels the smallest counts; with fewer than two classes to learn from, every score is the share of
-good labels (0.5 without any). Repeated rows are scored alike; an empty table gives an empty result.
+good labels (0.5 without any). Repeated rows are scored alike; a score that ties with the threshold is kept; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import exp, log
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,9 +31,11 @@ from pyspark.sql import functions as F
 from leadmill.llm.common import map_batches
 
 SAMPLE_DOCS = 2000
-SAMPLE_LINES = 400
+BLOCK_LINES = 400
+TRUST = 20.0
 THRESHOLD = 0.3
 STEPS = 200
+LATENT_STEPS = 80
 SYMBOLS = "#*$%&|<>"
 #: Own features of a line; the line before and the line after contribute the same ones.
 FEATURES = ("empty", "length", "word_len", "unlike", "repeated", "upper", "title", "symbols", "exclaims", "stops", "numbers", "seen")
@@ -110,8 +117,10 @@ def calibrated(quality: float, slope: float, shift: float) -> float:
     return 1 / (1 + exp(-min(max(slope * log(q / (1 - q)) + shift, -30.0), 30.0)))
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps: int = STEPS) -> Field:
-    """Maximises the chains' likelihood; ``docs`` are (features, lengths), ``good`` their labels.
+def fit(docs: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps: int = STEPS, latent: int = LATENT_STEPS) -> Field:
+    """Maximises the chains' likelihood; ``docs`` are (wide features, lengths), ``good`` their labels.
+
+    The last ``latent`` steps take the lines' labels as hidden behind their document's.
 
     Chains run side by side, padded to the longest; forward-backward goes over positions. Each document weighs
     the same, spread over its lines by length.
@@ -128,30 +137,32 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps: int
         mask = np.zeros((len(group), most), bool)
         for row, i in enumerate(group):
             n = len(docs[i][0])
-            x[row, :n], mask[row, :n] = widen(docs[i][0]), True
+            x[row, :n], mask[row, :n] = docs[i][0], True
         packs.append((x, mask, good[group].astype(np.float64), 1 / mask.sum(1)))
     weights, pair = np.zeros(WIDE), np.zeros((2, 2))
     theta = np.zeros(WIDE + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, steps + 1):
+    for step in range(1, steps + latent + 1):
         weights, pair = theta[:WIDE], theta[WIDE:].reshape(2, 2)
         grad = np.zeros_like(theta)
         for x, mask, y, share in packs:
-            p, both = _expect(x @ weights, mask, pair)
+            node = x @ weights
+            p, both = _expect(node, mask, pair)
             scale = share / len(docs)
-            grad[:WIDE] += np.einsum("dl,dlf->f", (np.where(mask, y[:, None] - p, 0) * scale[:, None]), x)
-            links = mask[:, 1:].sum(1)
-            for a in range(2):
-                for b in range(2):
-                    seen = links * (y if a else 1 - y) * (a == b)
-                    grad[WIDE + 2 * a + b] += ((seen - both[:, a, b]) * scale).sum()
+            if step <= steps:
+                held = np.broadcast_to(y[:, None], p.shape)
+                seen = mask[:, 1:].sum(1)[:, None, None] * np.stack([np.diag([1 - v, v]) for v in y])
+            else:
+                held, seen = _expect(node + log(TRUST) * (2 * y[:, None] - 1), mask, pair)
+            grad[:WIDE] += np.einsum("dl,dlf->f", (np.where(mask, held - p, 0) * scale[:, None]), x)
+            grad[WIDE:] += ((seen - both) * scale[:, None, None]).sum(0).ravel()
         grad -= 1e-4 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta = theta + 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     made = Field(theta[:WIDE].copy(), theta[WIDE:].reshape(2, 2).copy(), 1.0, 0.0)
     raw = []
-    for own, lengths in docs:
-        p, size = marginals(widen(own) @ made.weights, made.pair), np.maximum(lengths, 1)
+    for wide, lengths in docs:
+        p, size = marginals(wide @ made.weights, made.pair), np.maximum(lengths, 1)
         raw.append((p * size).sum() / size.sum())
     q = np.clip(np.array(raw), 1e-4, 1 - 1e-4)
     z = np.log(q / (1 - q))
@@ -203,16 +214,23 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(marked), "_id").dropDuplicates(["_id"])
 
     def run(batch):
-        own, lengths = [], []
+        own, lengths, lead, tail = [], [], [], []
         for t in batch.column("text").to_pylist():
             f, n = line_features(t)
-            pick = np.unique(np.linspace(0, len(f) - 1, min(len(f), SAMPLE_LINES)).astype(int))
-            own.append(f[pick].tobytes())
-            lengths.append(n[pick].tobytes())
-        return {"id": batch.column("_id"), "good": batch.column("_good"), "own": own, "lengths": lengths}
-
-    held = sorted(map_batches(rows, run, "id bigint, good int, own binary, lengths binary").collect())
-    docs_ = [(np.frombuffer(r.own, np.float32).reshape(-1, len(FEATURES)), np.frombuffer(r.lengths, np.int64)) for r in held]
+            spare = len(f) - BLOCK_LINES
+            begin = crc32((t or "").encode("utf-8", "surrogatepass")) % (spare + 1) if spare > 0 else 0
+            end = min(len(f), begin + BLOCK_LINES)
+            lead.append(int(begin > 0))
+            tail.append(int(end < len(f)))
+            own.append(f[begin - lead[-1] : end + tail[-1]].tobytes())
+            lengths.append(n[begin:end].tobytes())
+        return {"id": batch.column("_id"), "good": batch.column("_good"), "own": own, "lengths": lengths, "lead": lead, "tail": tail}
+
+    held = sorted(map_batches(rows, run, "id bigint, good int, own binary, lengths binary, lead int, tail int").collect())
+    docs_ = []
+    for r in held:
+        wide = widen(np.frombuffer(r.own, np.float32).reshape(-1, len(FEATURES)))
+        docs_.append((wide[r.lead : len(wide) - r.tail], np.frombuffer(r.lengths, np.int64)))
     return fit(docs_, np.array([r.good for r in held], np.float64))
 
 

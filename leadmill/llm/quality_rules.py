@@ -6,7 +6,8 @@ replace fixed cutoffs; the limits are joined back and decide. A (lang, source) p
 and a small language those of the whole corpus, merged likewise.
 
 Null texts have no words; null lang or source are groups of their own; repeated rows are judged alike, each in
-its own row; an empty table gives an empty result; other columns are ignored.
+its own row; a measure that ties with its limit is kept; texts are measured whole, however long; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,18 +23,21 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
-#: A limit lies SPREADS inter-quartile ranges plus the measure's own slack beyond the quartile.
-SPREADS = 6.0
+#: A limit lies SPREADS spreads beyond the FAR quantile of its group; a spread is the way from the median to that quantile.
+FAR = 0.9
+SPREADS = 4.0
 MIN_GROUP = 200
 SKETCH_K = 800
-#: measure: (slack, lower side too). Slack keeps a measure that is 0 nearly everywhere from rejecting small values.
+#: measure: (the least step that it can take in a text of MIN_WORDS words, lower side too). A spread is a step at least, so that what
+#: a single word, window or line does in a short text is inside. A repeated line is a step of one in the group's median of lines.
 MEASURES = {
-    "word_len": (1.0, True),
-    "symbol_share": (0.25, False),
-    "dup_line_share": (0.5, False),
-    "repeat_share": (0.35, False),
-    "exclaim_share": (0.25, False),
+    "word_len": (0.0, True),
+    "symbol_share": (1 / MIN_WORDS, False),
+    "dup_line_share": (None, False),
+    "repeat_share": (6 / MIN_WORDS, False),
+    "exclaim_share": (1 / MIN_WORDS, False),
 }
+SKETCHED = [*MEASURES, "lines"]
 
 
 def _repeat_words(words: Column, wins: Column, order: Column) -> Column:
@@ -80,6 +84,7 @@ def shares(measured: DataFrame) -> DataFrame:
         "dup_line_share": of("n_dup_lines", "n_lines"),
         "repeat_share": of("n_repeat_words", "n_words"),
         "exclaim_share": of("n_exclaim", "n_words"),
+        "lines": F.col("n_lines").cast("double"),
     })
 
 
@@ -87,19 +92,22 @@ def limits(rows: DataFrame, cuts: Cuts, spreads: float = SPREADS, min_group: int
     """lang, source and low_/high_ limits of each measure, from sketches of the group or what it belongs to."""
     group = cuts.write(
         rows.groupBy("lang", "source").agg(
-            F.count("*").alias("n"), *(F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES)
+            F.count("*").alias("n"), *(F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in SKETCHED)
         ),
         "sketches",
     )
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES)]
+    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in SKETCHED)]
     lang, whole = group.groupBy("lang").agg(*merged), group.agg(*merged)
 
     def bounds(table: DataFrame, keys: list[str], prefix: str) -> DataFrame:
         cols = []
-        for m, (slack, _) in MEASURES.items():
-            q1, q3 = (F.kll_sketch_get_quantile_double(m, F.lit(p)) for p in (0.25, 0.75))
-            reach = (q3 - q1) * spreads + slack
-            cols.append(F.struct((q1 - reach).alias("low"), (q3 + reach).alias("high")).alias(m))
+        at = lambda m, p: F.kll_sketch_get_quantile_double(m, F.lit(p))
+        for m, (step, _) in MEASURES.items():
+            low, mid, high = at(m, 1 - FAR), at(m, 0.5), at(m, FAR)
+            step = 1 / F.greatest(at("lines", 0.5), F.lit(1.0)) if step is None else F.lit(step)
+            cols.append(F.struct(
+                (low - spreads * F.greatest(mid - low, step)).alias("low"), (high + spreads * F.greatest(high - mid, step)).alias("high")
+            ).alias(m))
         return table.select(*keys, F.col("n").alias(f"{prefix}_n"), F.struct(*cols).alias(prefix))
 
     own, of_lang = bounds(group, ["lang", "source"], "own"), bounds(lang, ["lang"], "lng").withColumnRenamed("lang", "l2")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import Cuts, arrow_schema, map_batches
+from leadmill.llm.common import Cuts, arrow_schema, map_batches, numbered
 
 REACH = 3
 WORDS = 3
@@ -255,6 +255,7 @@ def hex_of(fp: Column) -> Column:
 def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents whose component another one names. Rows without an id stay."""
     cuts = Cuts(docs.sparkSession, "simhash-rows")
-    gone = link(docs, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = link(docs, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     gone = cuts.write(gone, "dropped")
-    return docs.join(gone, docs[doc_id].cast("bigint") == F.col("_gone"), "left_anti")
+    rows, (own,) = numbered(docs, doc_id)
+    return rows.join(gone, F.col(own).cast("bigint") == F.col("gone"), "left_anti").toDF(*docs.columns)

@@ -113,7 +113,7 @@ def test_exact_groups_of_given_documents(spark):
 def test_state_lasts_over_micro_batches(spark):
     rows = [(i, f"Text {i % 37}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
-    got = exact_dedup.deduplicate(docs, files=1).collect()
+    got = exact_dedup.deduplicate(docs, files=1, fold=3).collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size, bytes(r.digest).hex()) for r in got) == plain_dedup(rows)
 
 
