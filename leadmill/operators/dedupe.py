@@ -185,6 +185,31 @@ def candidate_edges(firm: DataFrame, opened: DataFrame, partners: int = PARTNERS
     return edges.filter((~F.col("u_late")) | (F.col("u") < F.col("v")))
 
 
+def _chains(single: DataFrame, settled: DataFrame) -> DataFrame | None:
+    """Settles groups that hang on one other group each, in as many steps as the longest chain has doublings.
+
+    Such a group is kept just when the other one is not. Pointers with a sign are joined to themselves, so each
+    step halves the way to a chain's end; ends that are settled settle their chains. None if there are none.
+    """
+    now = checkpoint(single.select("v", F.col("c.u").alias("u"), F.col("c.v_place").alias("gave"), F.col("c.u_city").alias("had"), F.col("c.u").alias("root"), F.lit(True).alias("flip")))
+    if now.isEmpty():
+        return None
+    while True:
+        ahead = now.select(F.col("v").alias("at"), F.col("root").alias("next"), F.col("flip").alias("more"))
+        step = checkpoint(now.join(ahead, now["root"] == F.col("at"), "left"))
+        if step.filter("at IS NOT NULL").isEmpty():
+            break
+        now = step.select(
+            "v", "u", "gave", "had", F.coalesce("next", "root").alias("root"), (F.col("flip") != F.coalesce("more", F.lit(False))).alias("flip")
+        )
+    ends = settled.select(F.col("s").alias("end"), F.col("to").isNull().alias("kept"))
+    known = now.join(ends, now["root"] == F.col("end"))
+    gone = F.col("kept") == F.col("flip")
+    return known.select(
+        F.col("v").alias("s"), F.when(gone, F.col("u")).alias("to"), F.when(gone, F.col("had")).alias("had"), F.when(gone, F.col("gave")).alias("gave")
+    )
+
+
 def resolve(edges: DataFrame) -> DataFrame:
     """(v, u): the keeper each open group ends at, in the order-dependent sense: the first
     earlier kept row that is similar and in the same place at that moment.
@@ -193,7 +218,9 @@ def resolve(edges: DataFrame) -> DataFrame:
     remaining earlier neighbours that does not rule itself out is certainly a match, or none
     remains (then it is kept). A neighbour kept without a place takes the place of its first
     match, so while its place is open only the earliest waiting group may claim it. The
-    earliest unsettled group always settles, so the rounds end. A round's edges are
+    earliest unsettled group always settles, so the rounds end; chains in which each group hangs on one
+    other are settled at once by pointer doubling, and a group with any certain match counts as not kept before
+    its own match is known. A round's edges are
     deleted once the next round's are written; its choices are part of the result.
     """
     state = edges.withColumns(
@@ -223,27 +250,35 @@ def resolve(edges: DataFrame) -> DataFrame:
         order = F.struct("u_late", "u")
         # edges that are ruled out stay so, and behind a certain match nothing counts: both go
         judged = judged.withColumn("turn", order)
-        choice = judged.groupBy("v").agg(
-            F.min_by(F.struct("verdict", "u", "u_city", "v_place"), F.when(F.col("verdict") != "no", F.col("turn"))).alias("c"),
+        # the outcome of such an edge hangs on nothing but whether ``u`` is kept
+        plain = F.col("u_open") & ~F.col("u_gone") & (F.col("v_place").isNull() | F.coalesce(F.col("u_city") == F.col("v_place"), F.lit(False)))
+        choice = judged.withColumn("plain", plain).groupBy("v").agg(
+            F.min_by(F.struct("verdict", "u", "u_city", "v_place", "plain"), F.when(F.col("verdict") != "no", F.col("turn"))).alias("c"),
             F.min(F.when(F.col("verdict") == "yes", F.col("turn"))).alias("stop"),
+            F.count_if(F.col("verdict") != "no").alias("live"),
         )
         choice = checkpoint(choice)
         settled = choice.filter("c IS NULL OR c.verdict = 'yes'").select(
             F.col("v").alias("s"), F.col("c.u").alias("to"), F.col("c.u_city").alias("had"), F.col("c.v_place").alias("gave")
         )
+        chained = _chains(choice.filter("live = 1 AND c.verdict = 'unknown' AND c.plain"), settled)
+        if chained is not None:
+            settled = checkpoint(settled.unionAll(chained))
         done.append(settled)
         open_ = choice.filter("c IS NOT NULL AND c.verdict <> 'yes'").select(F.col("v").alias("o"), "stop")
+        if chained is not None:
+            open_ = open_.join(settled.select(F.col("s").alias("o")), "o", "left_anti")
         left = (
             judged.filter("verdict <> 'no'").join(open_, judged["v"] == F.col("o"))
             .filter(F.col("stop").isNull() | (F.col("turn") <= F.col("stop"))).select(*state.columns)
         )
-        moved = settled.select(F.col("s").alias("m"), F.col("to"))
+        # a group with a certain match anywhere is not kept, whichever match it ends at
+        moved = settled.select(F.col("s").alias("m"), F.col("to").isNotNull().alias("goes")).unionAll(
+            open_.filter("stop IS NOT NULL").select("o", F.lit(True))
+        )
         left = left.join(moved, left["u"] == F.col("m"), "left").withColumns(
-            {
-                "u_open": F.col("u_open") & F.col("m").isNull(),
-                "u_gone": F.col("u_gone") | F.col("to").isNotNull(),
-            }
-        ).drop("m", "to")
+            {"u_open": F.col("u_open") & F.col("m").isNull(), "u_gone": F.col("u_gone") | F.coalesce("goes", F.lit(False))}
+        ).drop("m", "goes")
         placed = settled.filter("to IS NOT NULL AND had IS NULL AND gave IS NOT NULL").select(
             F.col("to").alias("k"), F.col("gave")
         )

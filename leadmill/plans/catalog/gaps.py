@@ -43,11 +43,13 @@ def dedup_no_identity(spark, sf):
     return thin_log(spark, sf).select("seq", "decision")
 
 
-@query("removal_counts", f"""{THIN_SQL} SELECT count(*) AS rows, count(*) FILTER (decision = 'keep') AS kept, count(*) FILTER (decision <> 'keep') AS removed,
-  count(*) FILTER (decision = 'no_identity') AS no_identity, count(*) FILTER (decision = 'existing') AS existing, count(*) FILTER (decision = 'exact') AS exact,
-  CAST(0 AS BIGINT) AS fuzzy FROM d""")
-def removal_counts(spark, sf):
-    return dd.removal_counts(thin_log(spark, sf))
+@query("removal_counts_exact", f"""{THIN_SQL} SELECT count(*) AS rows, count(*) FILTER (decision = 'keep') AS kept, count(*) FILTER (decision = 'open') AS open,
+  count(*) FILTER (decision = 'no_identity') AS no_identity, count(*) FILTER (decision = 'existing') AS existing, count(*) FILTER (decision = 'exact') AS exact FROM d""")
+def removal_counts_exact(spark, sf):
+    """What the passes before the name pass decide; ``open`` rows are left to it."""
+    log = thin_log(spark, sf)
+    return log.agg(F.count("*").alias("rows"), *[F.count_if(F.col("decision") == d).alias(n) for d, n in (
+        ("keep", "kept"), ("open", "open"), ("no_identity", "no_identity"), ("existing", "existing"), ("exact", "exact"))])
 
 
 #: As THIN, with names of which those of four rows in a row are nearly equal.
@@ -78,7 +80,7 @@ def dedup_log_full(spark, sf):
   count(*) FILTER (decision = 'no_identity') AS no_identity, count(*) FILTER (decision = 'existing') AS existing, count(*) FILTER (decision = 'exact') AS exact,
   count(*) FILTER (decision = 'fuzzy') AS fuzzy FROM f""")
 def removal_counts_full(spark, sf):
-    """Removed rows of the whole dedup; ``removal_counts`` stops before the name pass."""
+    """Removed rows of the whole dedup, name pass included."""
     return dd.removal_counts(near_log(spark, sf))
 
 
