@@ -49,15 +49,15 @@ def number_of(parts: Column, region: Column | str, plans: dict | None = None) ->
         full = rf"^{code}(?:{trunk if trunk == '0' else ''})?({pattern})$"
         local = rf"^(?:{trunk})?({pattern})$" if trunk else rf"^({pattern})$"
         forms.setdefault(code, [full, []])[1].append((name, local))
-    out = F.lit(None).cast("string")
+    found = []
     for code, (full, homes) in forms.items():
         coded = F.concat(F.lit("+" + code), F.regexp_extract(digits, full, 1))
-        out = F.when(world & digits.rlike(full), coded).otherwise(out)
+        found.append(F.when(world & digits.startswith(code) & digits.rlike(full), coded))
         for name, local in homes:
             home = ~world & (reg == name)
             near = F.concat(F.lit("+" + code), F.regexp_extract(digits, local, 1))
-            out = F.when(home & digits.rlike(local), near).when(home & digits.rlike(full), coded).otherwise(out)
-    return out
+            found.append(F.when(home, F.when(digits.rlike(local), near).when(digits.rlike(full), coded)))
+    return F.coalesce(*found)
 
 
 def to_e164(raw: Column | str, region: Column | str, plans: dict | None = None) -> Column:
@@ -65,15 +65,18 @@ def to_e164(raw: Column | str, region: Column | str, plans: dict | None = None)
     return let(dialled(raw), lambda parts: number_of(parts, region, plans))
 
 
-def phone_kind(e164: Column | str) -> Column:
-    """toll_free, mobile, voip, fixed_line or fixed_line_or_mobile for a valid number."""
+def phone_kind(e164: Column | str, plans: dict | None = None) -> Column:
+    """toll_free, mobile, voip, fixed_line or fixed_line_or_mobile for a valid number, else NULL.
+
+    No calling code begins with another, so one branch per code decides; within it the first range that fits.
+    """
     num = _col(e164)
-    out = F.lit(None).cast("string")
-    for code in dict.fromkeys(plan[0] for plan in lx.PHONE_PLANS.values()):
+    found = []
+    for code in dict.fromkeys(plan[0] for plan in (plans or lx.PHONE_PLANS).values()):
         nsn = F.substring(num, len(code) + 2, 20)
         kind = F.lit("fixed_line_or_mobile" if code == "1" else "fixed_line")
-        for name, ranges in (("mobile", lx.MOBILE), ("voip", lx.VOIP), ("toll_free", lx.TOLL_FREE)):
+        for name, ranges in (("mobile", lx.MOBILE), ("voip", lx.VOIP), (None, lx.OTHER_KINDS), ("toll_free", lx.TOLL_FREE)):
             if code in ranges:
-                kind = F.when(nsn.rlike(ranges[code]), name).otherwise(kind)
-        out = F.when(num.startswith("+" + code), kind).otherwise(out)
-    return out
+                kind = F.when(nsn.rlike(ranges[code]), F.lit(name).cast("string")).otherwise(kind)
+        found.append(F.when(num.startswith("+" + code), kind))
+    return F.coalesce(*found)

@@ -89,16 +89,16 @@ COUNTRY_ALIASES = {
 PHONE_PLANS = {
     "US": ("1", "1", r"[2-9][0-8][0-9][2-9][0-9]{6}"),
     "CA": ("1", "1", r"[2-9][0-8][0-9][2-9][0-9]{6}"),
-    "GB": ("44", "0", r"(1[0-9]{8,9}|2[0-9]{9}|3[0-9]{9}|7[0-9]{9}|8[0-9]{9})"),
-    "AU": ("61", "0", r"([23478][0-9]{8}|1[38]00[0-9]{6})"),
+    "GB": ("44", "0", r"(1[0-9]{8,9}|2[0-9]{9}|3[0-9]{9}|5[56][0-9]{8}|7[0-9]{9}|8[0-9]{9}|9[0-9]{9})"),
+    "AU": ("61", "0", r"([23478][0-9]{8}|1[38]00[0-9]{6}|190[0-9]{7})"),
     "DE": ("49", "0", r"[1-9][0-9]{5,10}"),
     "IN": ("91", "0", r"[1-9][0-9]{9}"),
     "PK": ("92", "0", r"(3[0-9]{9}|[24-9][0-9]{8,9})"),
     "FR": ("33", "0", r"[1-9][0-9]{8}"),
     "IE": ("353", "0", r"(1[0-9]{7}|[2-79][0-9]{6,8}|8[35-9][0-9]{7})"),
     "ES": ("34", "", r"[6789][0-9]{8}"),
-    "IT": ("39", "", r"(0[0-9]{5,10}|3[0-9]{8,9}|80[03][0-9]{3,6})"),
-    "NL": ("31", "0", r"([1-57][0-9]{8}|6[1-58][0-9]{7}|800[0-9]{4,7})"),
+    "IT": ("39", "", r"(0[0-9]{5,10}|3[0-9]{8,9}|80[03][0-9]{3,6}|89[0-9]{4,7})"),
+    "NL": ("31", "0", r"([1-57][0-9]{8}|6[1-58][0-9]{7}|8[58][0-9]{7}|800[0-9]{4,7}|90[069][0-9]{4,7})"),
     "BE": ("32", "0", r"(4[5-9][0-9]{7}|[1-9][0-9]{7})"),
     "CH": ("41", "0", r"[2-9][0-9]{8}"),
     "AT": ("43", "0", r"[1-9][0-9]{3,12}"),
@@ -110,6 +110,29 @@ PHONE_PLANS = {
     "NZ": ("64", "0", r"(2[1279][0-9]{6,8}|20[0-9]{7,8}|[34679][0-9]{7}|800[0-9]{6,7})"),
     "ZA": ("27", "0", r"[1-8][0-9]{8}"),
     "SG": ("65", "", r"([3689][0-9]{7}|1800[0-9]{7})"),
+    "PL": ("48", "", r"([1-9][0-9]{8})"),
+    "PT": ("351", "", r"(2[1-9][0-9]{7}|3[0-9]{8}|9[1236][0-9]{7}|80[08][0-9]{6}|7[06][0-9]{7})"),
+    "FI": ("358", "0", r"([1-9][0-9]{4,10})"),
+    "CZ": ("420", "", r"([2-9][0-9]{8})"),
+    "GR": ("30", "", r"(2[0-9]{9}|69[0-9]{8}|800[0-9]{7}|90[0-9]{8})"),
+    "HU": ("36", "06", r"(1[0-9]{7}|[2-9][0-9]{7,8})"),
+    "RO": ("40", "0", r"([237][0-9]{8}|80[0-9]{7}|90[0-9]{7})"),
+    "TR": ("90", "0", r"([2-5][0-9]{9}|800[0-9]{7,9}|850[0-9]{7}|900[0-9]{7})"),
+    "IL": ("972", "0", r"([2-489][0-9]{7}|5[0-9]{8}|7[2-9][0-9]{7}|1800[0-9]{6})"),
+    "AE": ("971", "0", r"([2-4679][0-9]{7}|5[024-68][0-9]{7}|800[0-9]{2,9})"),
+    "SA": ("966", "0", r"(1[1-467][0-9]{7}|5[0-9]{8}|800[0-9]{7})"),
+    "JP": ("81", "0", r"([1-9][0-9]{8}|[5789]0[0-9]{8}|800[0-9]{7})"),
+    "CN": ("86", "0", r"(1[3-9][0-9]{9}|10[0-9]{8}|[2-9][0-9]{8,10})"),
+    "KR": ("82", "0", r"(2[0-9]{7,8}|[3-6][0-9]{7,9}|1[0-9]{8,9}|70[0-9]{8}|80[0-9]{7})"),
+    "HK": ("852", "", r"([2-9][0-9]{7}|800[0-9]{6})"),
+    "MY": ("60", "0", r"(1[0-9]{8,9}|[3-9][0-9]{7,8}|1800[0-9]{6})"),
+    "PH": ("63", "0", r"(2[0-9]{8}|[3-8][0-9]{7,8}|9[0-9]{9}|1800[0-9]{7,9})"),
+    "TH": ("66", "0", r"([2-7][0-9]{7}|[689][0-9]{8}|1800[0-9]{6})"),
+    "AR": ("54", "0", r"(11[0-9]{8}|[23][0-9]{9}|9[0-9]{10}|800[0-9]{7})"),
+    "CL": ("56", "", r"([2-9][0-9]{8})"),
+    "CO": ("57", "0", r"(60[1-8][0-9]{7}|3[0-9]{9}|1800[0-9]{7})"),
+    "RU": ("7", "8", r"([3489][0-9]{9})"),
+    "UA": ("380", "0", r"([3-9][0-9]{8})"),
 }
 TOLL_FREE = {
     "1": r"^(800|822|833|844|855|866|877|888)",
@@ -133,13 +156,44 @@ TOLL_FREE = {
     "64": r"^800",
     "27": r"^80",
     "65": r"^1800",
+    "48": r"^800",
+    "351": r"^80[08]",
+    "358": r"^800",
+    "420": r"^800",
+    "30": r"^800",
+    "36": r"^80",
+    "40": r"^800",
+    "90": r"^800",
+    "972": r"^1800",
+    "971": r"^800",
+    "966": r"^800",
+    "81": r"^(120|800)",
+    "82": r"^80",
+    "852": r"^800",
+    "60": r"^1800",
+    "63": r"^1800",
+    "66": r"^1800",
+    "54": r"^800",
+    "56": r"^800",
+    "57": r"^1800",
+    "7": r"^80[04]",
+    "380": r"^800",
 }
 MOBILE = {
     "44": r"^7[1-57-9]", "61": r"^4", "49": r"^1[567]", "91": r"^[6-9]", "92": r"^3", "33": r"^[67]", "353": r"^8", "34": r"^[67]",
     "39": r"^3", "31": r"^6", "32": r"^4", "41": r"^7[4-9]", "43": r"^6", "46": r"^7", "47": r"^[49]", "55": r"^[1-9][1-9]9",
-    "64": r"^2", "27": r"^[678]", "65": r"^[89]",
+    "64": r"^2", "27": r"^[678]", "65": r"^[89]", "48": r"^(45|5[0137]|6[069]|7[2389]|88)", "351": r"^9", "358": r"^(4|50)", "420": r"^(60[1-8]|7)",
+    "30": r"^69", "36": r"^[2357]0", "40": r"^7", "90": r"^5", "972": r"^5", "971": r"^5", "966": r"^5", "81": r"^[789]0", "86": r"^1[3-9].{9}$",
+    "82": r"^1", "852": r"^[5679]", "60": r"^1", "63": r"^9", "66": r"^[689].{8}$", "54": r"^9", "56": r"^9", "57": r"^3", "7": r"^9",
+    "380": r"^(39|50|6[36-8]|73|9[1-9])",
 }
-VOIP = {"44": r"^56", "33": r"^9", "353": r"^76", "34": r"^51", "31": r"^8[58]", "43": r"^720", "65": r"^3", "27": r"^87"}
+#: Numbers of other kinds (premium rate, shared cost, personal): valid, but of none of the kinds that are told apart.
+OTHER_KINDS = {
+    "1": r"^900", "44": r"^(9|70|8[47])", "61": r"^(190|130)", "49": r"^(900|13[78]|180)", "33": r"^(8[129])", "34": r"^(80|90[57])", "39": r"^89",
+    "31": r"^90", "32": r"^90", "41": r"^90", "43": r"^9[03]", "46": r"^9[04]", "47": r"^82", "48": r"^70", "351": r"^[67]", "358": r"^[67]00",
+    "420": r"^9", "30": r"^90", "40": r"^90", "90": r"^900", "380": r"^900", "7": r"^80[39]",
+}
+VOIP = {"44": r"^56", "33": r"^9", "353": r"^76", "34": r"^51", "31": r"^8[58]", "43": r"^720", "65": r"^3", "27": r"^87", "81": r"^50", "82": r"^70", "972": r"^7", "351": r"^30", "90": r"^850", "48": r"^39"}
 PHONE_IN_TEXT = (
     r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,5}\)[ .\-]?)?\b\d{2,5}(?:[ .\-]\d{2,5}){1,4}\b"
     r"|\+?\b\d{7,14}\b"

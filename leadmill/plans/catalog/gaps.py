@@ -26,7 +26,7 @@ THIN = """SELECT c_custkey AS seq, CASE c_custkey % 5 WHEN 0 THEN ' ,- ' WHEN 1
   CASE c_custkey % 3 WHEN 0 THEN concat('https://c', c_custkey % 400, '-shop.com/x') WHEN 1 THEN 'n/a' END AS website,
   CASE WHEN c_custkey % 7 = 0 THEN concat('desk@m', c_custkey % 50, '-mail.com') WHEN c_custkey % 7 = 1 THEN concat('c', c_custkey, '@gmail.com') END AS email FROM {customer}"""
 THIN_SQL = f"""WITH t AS (SELECT *, CASE WHEN website LIKE 'https%' THEN regexp_extract(website, '//([^/]+)', 1) WHEN email LIKE '%-mail.com' THEN split_part(email, '@', 2) END AS domain,
-    website LIKE 'https%' AND TRY_CAST(regexp_extract(website, 'c([0-9]+)', 1) AS INTEGER) BETWEEN 0 AND 99 AS known FROM {mart.sql_text(THIN)}),
+    coalesce(website LIKE 'https%' AND TRY_CAST(regexp_extract(website, 'c([0-9]+)', 1) AS INTEGER) BETWEEN 0 AND 99, false) AS known FROM {mart.sql_text(THIN)}),
 d AS (SELECT seq, CASE WHEN domain IS NULL AND (name IS NULL OR name = ' ,- ') THEN 'no_identity' WHEN domain IS NULL THEN 'open' WHEN k THEN 'existing'
     WHEN seq = min(seq) FILTER (NOT k) OVER (PARTITION BY domain) THEN 'keep' ELSE 'exact' END AS decision
   FROM (SELECT *, bool_or(known) OVER (PARTITION BY domain) AS k FROM t))"""

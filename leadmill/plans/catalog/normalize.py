@@ -177,6 +177,39 @@ def phone_checks(spark, sf):
     return t.select("id", "region", "e164", F.col("e164").isNotNull().alias("valid"), ph.phone_kind("e164").alias("kind"))
 
 
+#: Country, what is written before three digits, the E.164 form up to them, kind: expected values of their own, of 34 numbers.
+PLANNED = [
+    ("PL", "512 345 ", "+48512345", "mobile"), ("PT", "912 345 ", "+351912345", "mobile"), ("FI", "040 123 4", "+358401234", "mobile"),
+    ("CZ", "222 345 ", "+420222345", "fixed_line"), ("GR", "21 0123 4", "+302101234", "fixed_line"), ("HU", "06 1 234 5", "+3612345", "fixed_line"),
+    ("RO", "021 234 5", "+40212345", "fixed_line"), ("TR", "0532 123 4", "+905321234", "mobile"), ("IL", "072-234-5", "+972722345", "voip"),
+    ("AE", "050 123 4", "+971501234", "mobile"), ("SA", "011 234 5", "+966112345", "fixed_line"), ("JP", "050-1234-5", "+815012345", "voip"),
+    ("JP", "0120-123-", "+81120123", "toll_free"), ("CN", "138 0013 8", "+8613800138", "mobile"), ("KR", "070-1234-5", "+827012345", "voip"),
+    ("HK", "2345 6", "+85223456", "fixed_line"), ("MY", "012-345 6", "+60123456", "mobile"), ("PH", "0917 123 4", "+639171234", "mobile"),
+    ("TH", "02 123 4", "+6621234", "fixed_line"), ("AR", "011 4123-4", "+541141234", "fixed_line"), ("CL", "9 1234 5", "+56912345", "mobile"),
+    ("CO", "310 123 4", "+573101234", "mobile"), ("RU", "8 (495) 123-4", "+74951234", "fixed_line"), ("UA", "050 123 4", "+380501234", "mobile"),
+    ("DE", "0900 123 4", "+499001234", None), ("US", "900-555-0", "+19005550", None), ("GB", "056 1234 5", "+445612345", "voip"),
+    ("GB", "0909 123 4", "+449091234", None), ("CA", "(416) 555-0", "+14165550", "fixed_line_or_mobile"), ("FR", "06 12 34 5", "+33612345", "mobile"),
+    ("BR", "(11) 91234-5", "+5511912345", "mobile"), ("ES", "900 123 ", "+34900123", "toll_free"), ("IT", "06 1234 5", "+390612345", "fixed_line"),
+    ("AU", "1800 123 ", "+611800123", "toll_free"),
+]
+
+
+def planned(column: int, key: str) -> str:
+    """SQL: a column of PLANNED by a row's key."""
+    return f"CASE {key} % {len(PLANNED)} " + " ".join(f"WHEN {i} THEN " + ("NULL" if p[column] is None else f"'{p[column]}'") for i, p in enumerate(PLANNED)) + " END"
+
+
+PLANNED_TEXT = f"SELECT o_orderkey AS id, {planned(0, 'o_orderkey')} AS country, concat({planned(1, 'o_orderkey')}, lpad(CAST(o_orderkey % 1000 AS VARCHAR(9)), 3, '0')) AS raw FROM {{orders}}"
+
+
+@query("phone_plans", f"""SELECT o_orderkey AS id, concat({planned(2, 'o_orderkey')}, lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0')) AS e164, {planned(3, 'o_orderkey')} AS kind FROM orders""")
+def phone_plans(spark, sf):
+    """Numbers under the plans of 30 and more regions, written as at home."""
+    t = mart.view(spark, sf, PLANNED_TEXT)
+    t = t.withColumn("e164", ph.to_e164("raw", ph.region_for("country")))
+    return t.select("id", "e164", ph.phone_kind("e164").alias("kind"))
+
+
 @query("phone_region", f"""SELECT country, CASE WHEN country IN ('UK', 'gb') THEN 'GB' ELSE 'US' END AS region, count(*) AS n
 FROM {mart.sql_text(PHONE_TEXT)} GROUP BY 1, 2""")
 def phone_region(spark, sf):
