@@ -49,6 +49,27 @@ def page_meta(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.substring(F.get(tx.head_texts("html"), F.lit(0)), 1, 200).alias("title"))
 
 
+#: Pages with meta tags of either attribute order and quote, references, white space and tags that only look alike.
+HEADS = """SELECT page_id, concat('<html><head><TITLE lang="en"> Mill &amp; Co ', page_id, ' </TITLE>',
+  CASE page_id % 4 WHEN 0 THEN concat('<meta name="description" content=" We bind ', page_id, ' books &lt;here&gt; ">')
+    WHEN 1 THEN concat('<META content=''Looms &#39;n'' Name="description" />', '<meta property="og:description" content="og ', page_id, '">')
+    WHEN 2 THEN concat('<meta property="og:description" content="og ', page_id, '"><meta name="twitter:description" content="tw">')
+    ELSE '<meta name="descriptions" content="no"><meta itemprop="description" content="no">' END,
+  CASE page_id % 3 WHEN 0 THEN concat('<meta property="og:site_name" content="Site ', page_id % 7, '">') WHEN 1 THEN '<meta content="Caf&eacute;" property="og:site_name">' ELSE '' END,
+  '</head><body>', html, '</body></html>') AS html FROM {pages}"""
+
+
+@query("page_head_texts", """SELECT page_id, 'Mill & Co ' || page_id AS title,
+  CASE page_id % 4 WHEN 0 THEN 'We bind ' || page_id || ' books <here>' WHEN 1 THEN 'Looms ''n' ELSE '' END AS description,
+  CASE WHEN page_id % 4 IN (1, 2) THEN 'og ' || page_id ELSE '' END AS og_description, CASE WHEN page_id % 4 = 2 THEN 'tw' ELSE '' END AS twitter_description,
+  CASE page_id % 3 WHEN 0 THEN 'Site ' || page_id % 7 WHEN 1 THEN 'Café' ELSE '' END AS site_name FROM pages""")
+def page_head_texts(spark, sf):
+    """Title, the three descriptions and the site name of every page."""
+    texts = tx.head_texts("html")
+    names = ("title", "description", "og_description", "twitter_description", "site_name")
+    return mart.view(spark, sf, HEADS).select("page_id", texts.alias("t")).select("page_id", *[F.get("t", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
 def signals(spark, sf, *only):
     """Signals of the pages by site; a site's first page counts as its home page."""
     return ex.page_signals(site_pages(spark, sf), YEAR, list(only))

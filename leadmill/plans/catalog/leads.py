@@ -181,6 +181,29 @@ def lead_detail(spark, sf):
                       breakdown_text().alias("breakdown"), "contacts_count", "contact_name", "contact_email")
 
 
+@query("lead_detail_columns", f"""{LEADS_SQL} SELECT l.id, 'About ' || l.name AS description, l.founded_year, l.copyright_year, l.id * 1000 AS revenue_estimate,
+  'looms,' || coalesce(l.industry, '') AS tech_stack, 'https://social.example/' || l.id AS linkedin, CASE WHEN l.id % 2 = 0 THEN 'yes' ELSE 'no' END AS hiring, l.breakdown,
+  CASE WHEN l.id % 3 = 0 THEN 'call back' END AS notes, CASE WHEN l.id % 2 = 0 THEN 'vendor_csv' ELSE 'csv' END AS source, l.import_id,
+  CASE l.id % 4 WHEN 0 THEN 'Wick' END AS city FROM leads l""")
+def lead_detail_columns(spark, sf):
+    """All columns that the detail view adds, of leads that have them."""
+    from leadmill.plans.catalog.scoring import breakdown_text
+
+    key = F.col("id").cast("string")
+    full = leads(spark, sf).withColumns({
+        "description": F.concat(F.lit("About "), "name"), "revenue_estimate": F.col("id") * 1000, "tech_stack": F.array(F.lit("looms"), F.coalesce("industry", F.lit(""))),
+        "socials": F.create_map(F.lit("linkedin"), F.concat(F.lit("https://social.example/"), key)),
+        "signals": F.create_map(F.lit("hiring"), F.when(F.col("id") % 2 == 0, "yes").otherwise("no")),
+        "notes": F.when(F.col("id") % 3 == 0, "call back"), "source": F.when(F.col("id") % 2 == 0, "vendor_csv").otherwise("csv"),
+        "city": F.when(F.col("id") % 4 == 0, "Wick"),
+    })
+    out = ld.lead_rows(full, contact(spark, sf), detail=True)
+    return out.select(
+        "id", "description", "founded_year", "copyright_year", "revenue_estimate", F.array_join("tech_stack", ",").alias("tech_stack"),
+        F.col("socials")["linkedin"].alias("linkedin"), F.col("signals")["hiring"].alias("hiring"), breakdown_text().alias("breakdown"), "notes", "source", "import_id", "city",
+    )
+
+
 @query("contacts_per_lead", f"""{mart.with_views(mart_company=mart.COMPANY, mart_contact=mart.CONTACT)}
 SELECT c.id, count(t.contact_id) AS contacts_count FROM mart_company c
 LEFT JOIN mart_contact t ON t.company_id = c.id GROUP BY c.id""")
