@@ -189,19 +189,25 @@ def _chains(single: DataFrame, settled: DataFrame) -> DataFrame | None:
     """Settles groups that hang on one other group each, in as many steps as the longest chain has doublings.
 
     Such a group is kept just when the other one is not. Pointers with a sign are joined to themselves, so each
-    step halves the way to a chain's end; ends that are settled settle their chains. None if there are none.
+    step halves the way to a chain's end; ends that are settled settle their chains. None where no two links meet.
     """
-    now = checkpoint(single.select("v", F.col("c.u").alias("u"), F.col("c.v_place").alias("gave"), F.col("c.u_city").alias("had"), F.col("c.u").alias("root"), F.lit(True).alias("flip")))
-    if now.isEmpty():
-        return None
-    while True:
-        ahead = now.select(F.col("v").alias("at"), F.col("root").alias("next"), F.col("flip").alias("more"))
-        step = checkpoint(now.join(ahead, now["root"] == F.col("at"), "left"))
-        if step.filter("at IS NOT NULL").isEmpty():
-            break
-        now = step.select(
+    now = single.select("v", F.col("c.u").alias("u"), F.col("c.v_place").alias("gave"), F.col("c.u_city").alias("had"), F.col("c.u").alias("root"), F.lit(True).alias("flip"))
+
+    def doubled(rows: DataFrame) -> DataFrame:
+        ahead = rows.select(F.col("v").alias("at"), F.col("root").alias("next"), F.col("flip").alias("more"))
+        return rows.join(ahead, rows["root"] == F.col("at"), "left").select(
             "v", "u", "gave", "had", F.coalesce("next", "root").alias("root"), (F.col("flip") != F.coalesce("more", F.lit(False))).alias("flip")
         )
+
+    def open_ended(rows: DataFrame) -> bool:
+        return not rows.join(rows.select(F.col("v").alias("root")), "root", "left_semi").isEmpty()
+
+    if not open_ended(now):
+        return None  # single steps: the next round takes them
+    while True:
+        now = checkpoint(doubled(doubled(now)))
+        if not open_ended(now):
+            break
     ends = settled.select(F.col("s").alias("end"), F.col("to").isNull().alias("kept"))
     known = now.join(ends, now["root"] == F.col("end"))
     gone = F.col("kept") == F.col("flip")
