@@ -19,8 +19,10 @@ from leadmill.functions.phones import dialled, number_of, region_for
 from leadmill.functions.text import (
     deobfuscate, head_texts, html_blocks, percent_decode, title_case,
 )
+from leadmill.operators.borders import border_years, page_edges
 from leadmill.operators.crawl import anchors
 from leadmill.operators.ranking import first_k
+from leadmill.session import checkpoint
 
 SIGNAL = "array<struct<kind:string,value:string,note:string,first:bigint,pos:int>>"
 
@@ -148,7 +150,9 @@ def _years(this_year: int) -> Column:
     old = F.array_min(founded_years(F.col("text"), this_year))
     seen = F.array_max(copyright_years(F.col("text"), this_year))
     source = F.array_max(copyright_years(F.col("html"), this_year))
+    edge, opens = page_edges(F.col("text"))
     return F.concat(
+        _one("edge", edge, note=F.when(opens, "opens")),
         _one("founded", old, first=old),
         _one("copyright", seen, first=-seen),
         _one("copyright_source", source, first=-source),
@@ -310,6 +314,24 @@ def page_signals(pages: DataFrame, this_year: int, only: list[str] | None = None
     return found.filter("kind <> 'phone' OR value IS NOT NULL")
 
 
+def with_border_years(signals: DataFrame, this_year: int) -> DataFrame:
+    """Signals with the years of phrases over page borders in place of the pages' edges.
+
+    The signals are written once, as they are read twice; they are short.
+    """
+    signals = checkpoint(signals)
+    edges = signals.filter("kind = 'edge'").select("domain", "seq", F.col("value").alias("edge"), F.col("note").isNotNull().alias("opens"))
+    rest = signals.filter("kind <> 'edge'")
+    if edges.filter("opens").isEmpty():
+        return rest
+    found = border_years(edges, this_year)
+    rank = F.when(F.col("kind") == "founded", F.col("year")).otherwise(-F.col("year"))
+    return rest.unionByName(
+        found.select("domain", "seq", "kind", F.col("year").cast("string").alias("value"), F.lit(None).cast("string").alias("note"),
+                     rank.cast("bigint").alias("first"), F.lit(0).alias("pos"))
+    )
+
+
 CAPS = {"email": lx.MAX_EMAILS, "phone": lx.MAX_PHONES, "person": lx.MAX_PEOPLE}
 _SINGLE = ["title", "description", "site_name", "founded", "copyright", "copyright_source", "family",
            "hiring_path", "hiring_phrase", "hiring_board"]
@@ -324,7 +346,7 @@ def domain_signals(signals: DataFrame) -> DataFrame:
     place = F.struct("first", "seq", "pos")
     own = F.when(F.col("kind").isin(*_SINGLE), F.lit("")).otherwise(F.col("value"))
     first = (
-        signals.withColumn("own", own)
+        signals.filter("kind <> 'edge'").withColumn("own", own)
         .groupBy("domain", "kind", "own")
         .agg(F.min_by(F.struct("value", "note", "first", "seq", "pos"), place).alias("s"))
         .select("domain", "kind", "s.*")
@@ -343,7 +365,10 @@ def enrichment_rows(pages: DataFrame, this_year: int, only: list[str] | None = N
                     places: DataFrame | None = None) -> DataFrame:
     """One row per domain with everything found on its pages (arrays of fixed maximum size);
     ``only`` limits the extractors that run, ``places`` the domains (see page_signals)."""
-    sig = domain_signals(page_signals(pages, this_year, only, places))
+    sig = page_signals(pages, this_year, only, places)
+    if only is None or "founded" in only:
+        sig = with_border_years(sig, this_year)
+    sig = domain_signals(sig)
 
     def listed(kind: str, item: Column) -> Column:
         got = F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", item.alias("item"))))

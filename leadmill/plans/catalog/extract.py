@@ -128,6 +128,20 @@ def copyright_year(spark, sf):
     return s.groupBy("seq").agg(F.max(F.col("value").cast("int")).alias("copyright_year"))
 
 
+#: Pages that open with a year and may end in words that need one; every eleventh has nothing else to say.
+BORDERS = """SELECT page_id AS seq, url, concat('<html><body><p>', 1990 + page_id * 7 % 33, ' Mill Lane</p>', CASE WHEN page_id % 11 = 4 THEN '' ELSE html END,
+  CASE page_id % 5 WHEN 1 THEN '<p>Weavers, founded in</p>' WHEN 2 THEN '<footer>&copy;</footer>' WHEN 3 THEN '<p>Serving all of Austin, </p>' ELSE '<p>End</p>' END, '</body></html>') AS html FROM {pages}"""
+
+
+@query("site_years", f"""WITH p AS {mart.sql_text(BORDERS)}, b AS (SELECT seq, {blocks_sql('html')} AS blocks, {domain_sql('url')} AS domain FROM p),
+s AS (SELECT domain, string_agg(array_to_string(blocks, ' '), chr(10) ORDER BY seq) AS text FROM b WHERE domain IS NOT NULL GROUP BY domain)
+SELECT domain, list_min(list_filter(list_transform(regexp_extract_all(text, '{lx.FOUNDED}', 1), lambda y: CAST(y AS INTEGER)), lambda y: y BETWEEN 1850 AND {YEAR})) AS founded_year,
+  list_max(list_filter(list_transform(regexp_extract_all(text, '{lx.COPYRIGHT}', 1), lambda y: CAST(y AS INTEGER)), lambda y: y BETWEEN 1990 AND {YEAR + 1})) AS copyright_year FROM s""")
+def site_years(spark, sf):
+    """Years of a site's pages read as one text, phrases over page borders included."""
+    return ex.enrichment_rows(site_pages(spark, sf, BORDERS), YEAR, ["founded"]).filter("domain IS NOT NULL").select("domain", "founded_year", "copyright_year")
+
+
 @query("family_owned", f"{PAGES} SELECT domain, {first_per_domain('m')} AS hint FROM (SELECT domain, seq, regexp_extract(text, '{lx.FAMILY}') AS m FROM t) GROUP BY domain HAVING hint IS NOT NULL")
 def family_owned(spark, sf):
     return _one(spark, sf, "family", "family", "hint")

@@ -1,7 +1,10 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from leadmill import lexicons as lx
+from leadmill.operators import borders as bo
 from leadmill.operators import contacts as ct
 from leadmill.operators import crawl as cr
 from leadmill.operators import dedupe as dd
@@ -250,3 +253,41 @@ def test_page_bodies_are_not_shuffled(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert all("html" not in line for line in plan.split("\n") if "Exchange" in line)
     assert df.first().phones == ["+12128675309"]
+
+
+def years_of(spark, sites):
+    rows = [(d, f"/{i}" if i else "/", i, f"https://{d}/{i}", f"<body><p>{t}</p></body>") for d, texts in sites.items() for i, t in enumerate(texts)]
+    found = ex.enrichment_rows(spark.createDataFrame(rows, "domain string, path string, seq int, url string, html string"), 2026, ["founded"])
+    return {r.domain: (r.founded_year, r.copyright_year) for r in found.collect()}
+
+
+def test_years_over_page_borders(spark):
+    long = "loom " * 400
+    got = years_of(spark, {
+        "two.nz": [long + "founded in", "1931 " + long],
+        "three.nz": [long + "Founded", "in", "", "1944 " + long],
+        "serving.nz": [long + "serving Otago, Southland", "and more since 1958 " + long],
+        "mark.nz": [long + "copyright", "2001 - 2019 " + long],
+        "cut.nz": [long + "founded in", "19311 " + long],
+        "inside.nz": [long + "founded in " + long, "1931 " + long],
+        "none.nz": [long, "1931 " + long],
+        "white.nz": [long + "founded in", "<pre>in" + " " * 3000 + "1961</pre>" + long],
+        "last.nz": [long + "founded in"],
+    })
+    assert got == {
+        "two.nz": (1931, None), "three.nz": (1944, None), "serving.nz": (1958, None), "mark.nz": (None, 2019), "cut.nz": (None, None),
+        "inside.nz": (None, None), "none.nz": (None, None), "white.nz": (None, None), "last.nz": (None, None),
+    }
+
+
+def test_years_over_borders_equal_one_joined_text(spark, monkeypatch):
+    monkeypatch.setattr(bo, "SPAN", 200)
+    draw = random.Random(11)
+    words = ["founded", "in", "since", "serving", "1950", "1999", "2014", "©", "copyright", "x", "", "", "est.", "2001 -", "loom " * 300]
+    sites = {f"s{i}.nz": [" ".join(draw.choice(words) for _ in range(draw.randint(0, 2))).strip() for _ in range(n)] for i, n in enumerate([2, 3, 9, 40, 700])}
+    got = years_of(spark, sites)
+    for site, texts in sites.items():
+        text = "\n".join(t.strip() for t in texts)
+        old = [int(y) for y in re.findall(lx.FOUNDED, text)]
+        seen = [int(y) for y in re.findall(lx.COPYRIGHT, text) if 1990 <= int(y) <= 2027]
+        assert got[site] == (min(old, default=None), max(seen, default=None)), site
