@@ -423,6 +423,17 @@ def enrichment_rows(pages: DataFrame, this_year: int, only: list[str] | None = N
     )
 
 
+def enrichment_documents(rows: DataFrame) -> DataFrame:
+    """(domain, doc): every row as one VARIANT, to be stored; fields may come and go between versions."""
+    return rows.select("domain", F.to_variant_object(F.struct(*rows.columns)).alias("doc"))
+
+
+def document_rows(docs: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Domain and ``fields`` (name to type) of stored documents; NULL where a document lacks the field or
+    holds something else under its name."""
+    return docs.select("domain", *[F.try_variant_get("doc", f"$.{name}", kind).alias(name) for name, kind in fields.items()])
+
+
 def crawled_paths(pages: DataFrame) -> DataFrame:
     """(domain, path): which pages a domain's enrichment rests on."""
     return pages.select("domain", "path").distinct()

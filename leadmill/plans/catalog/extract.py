@@ -13,6 +13,7 @@ from leadmill.plans.catalog.crawl import site_pages
 from leadmill.plans.catalog.normalize import domain_sql, listed
 from leadmill.plans.catalog.scoring import company, contact
 from leadmill.plans.registry import query, table
+from leadmill.session import checkpoint
 
 YEAR = 2026
 
@@ -78,33 +79,42 @@ def signals(spark, sf, *only):
 MAIL = "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,24}"
 
 
-@query("page_emails", f"""{PAGES}, found AS (
-  SELECT seq, domain, url_decode(unnest(regexp_extract_all(html, '(?i)mailto:([^"''?>\\s]+)', 1))) AS e FROM t
-  UNION ALL SELECT seq, domain, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text,
+EMAILS_FOUND = f"""found AS (SELECT seq, domain, generate_subscripts(l, 1) AS pos, unnest(l) AS e FROM (SELECT seq, domain, list_concat(
+    list_transform(regexp_extract_all(html, '(?i)mailto:([^"''?>\\s]+)', 1), lambda x: url_decode(x)),
+    regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text,
     '(?i)\\s*[\\[({{]\\s*at\\s*[\\])}}]\\s*', '@', 'g'), '(?i)\\s+at\\s+([a-z0-9-]+\\s*[\\[({{]\\s*dot)', '@\\1', 'g'),
-    '(?i)\\s*[\\[({{]\\s*dot\\s*[\\])}}]\\s*', '.', 'g'), '{MAIL}')) FROM t),
-n AS (SELECT seq, domain, lower(trim(e, '.')) AS e FROM found), s AS (SELECT *, split_part(e, '@', 1) AS l, split_part(e, '@', 2) AS h FROM n WHERE regexp_full_match(e, '{MAIL}'))
-SELECT DISTINCT domain, e AS email FROM s WHERE split_part(h, '.', -1) NOT IN ({listed(lx.JUNK_MAIL_TLDS)})
+    '(?i)\\s*[\\[({{]\\s*dot\\s*[\\])}}]\\s*', '.', 'g'), '{MAIL}')) AS l FROM t)),
+n AS (SELECT seq, domain, pos, lower(trim(e, '.')) AS e FROM found), s AS (SELECT *, split_part(e, '@', 1) AS l, split_part(e, '@', 2) AS h FROM n WHERE regexp_full_match(e, '{MAIL}')),
+em AS (SELECT seq, domain, pos, e AS email FROM s WHERE split_part(h, '.', -1) NOT IN ({listed(lx.JUNK_MAIL_TLDS)})
   AND NOT list_has_any([h, regexp_extract(h, '([^.]+[.][^.]+)$', 1)], [{listed(lx.JUNK_MAIL_HOSTS)}])
   AND l NOT IN ({listed(lx.JUNK_MAILBOXES)}) AND len(l) <= 40 AND NOT regexp_full_match(l, '[0-9a-f]{{16,}}')
-  AND (h = domain OR ends_with(h, '.' || domain) OR h IN ({listed(lx.FREE_MAIL)}))""")
+  AND (h = domain OR ends_with(h, '.' || domain) OR h IN ({listed(lx.FREE_MAIL)})))"""
+
+
+@query("page_emails", f"{PAGES}, {EMAILS_FOUND} SELECT DISTINCT domain, email FROM em")
 def page_emails(spark, sf):
     return signals(spark, sf, "emails").select("domain", F.col("value").alias("email")).distinct()
 
 
-@query("page_phones", f"""{PAGES}, c AS (SELECT seq, unnest(list_concat(regexp_extract_all(html, '(?i)tel:([^"''>]+)', 1),
-  regexp_extract_all(text, '{lx.PHONE_IN_TEXT}'))) AS raw FROM t),
-d AS (SELECT seq, starts_with(raw, '+') AS world, regexp_replace(regexp_extract(raw, '^[^+0-9]*(.*[0-9])', 1), '[^0-9]', '', 'g') AS n FROM c)
-SELECT DISTINCT seq, CASE WHEN world THEN '+' || n ELSE '+1' || right(n, 10) END AS phone FROM d
-WHERE regexp_full_match(n, CASE WHEN world THEN '(1[2-9][0-8][0-9][2-9][0-9]{{6}}|440?(1[0-9]{{8,9}}|[237][0-9]{{9}}|8[0-9]{{9}})|610?([23478][0-9]{{8}}|1[38]00[0-9]{{6}})|490?[1-9][0-9]{{5,10}}|910?[1-9][0-9]{{9}}|920?(3[0-9]{{9}}|[24-9][0-9]{{8,9}}))' ELSE '1?[2-9][0-8][0-9][2-9][0-9]{{6}}' END)""")
+PHONES_FOUND = f"""c AS (SELECT seq, domain, generate_subscripts(l, 1) AS pos, unnest(l) AS raw FROM (SELECT seq, domain,
+  list_concat(regexp_extract_all(html, '(?i)tel:([^"''>]+)', 1), regexp_extract_all(text, '{lx.PHONE_IN_TEXT}')) AS l FROM t)),
+d AS (SELECT seq, domain, pos, starts_with(raw, '+') AS world, regexp_replace(regexp_extract(raw, '^[^+0-9]*(.*[0-9])', 1), '[^0-9]', '', 'g') AS n FROM c),
+ph AS (SELECT seq, domain, pos, CASE WHEN world THEN '+' || n ELSE '+1' || right(n, 10) END AS phone FROM d
+WHERE regexp_full_match(n, CASE WHEN world THEN '(1[2-9][0-8][0-9][2-9][0-9]{{6}}|440?(1[0-9]{{8,9}}|[237][0-9]{{9}}|8[0-9]{{9}})|610?([23478][0-9]{{8}}|1[38]00[0-9]{{6}})|490?[1-9][0-9]{{5,10}}|910?[1-9][0-9]{{9}}|920?(3[0-9]{{9}}|[24-9][0-9]{{8,9}}))' ELSE '1?[2-9][0-8][0-9][2-9][0-9]{{6}}' END))"""
+
+
+@query("page_phones", f"{PAGES}, {PHONES_FOUND} SELECT DISTINCT seq, phone FROM ph")
 def page_phones(spark, sf):
     return signals(spark, sf, "phones").select("seq", F.col("value").alias("phone")).distinct()
 
 
-@query("page_socials", f"""{PAGES}, h AS (SELECT domain, seq, generate_subscripts(l, 1) AS pos, trim(unnest(l)) AS href FROM (
+SOCIALS_FOUND = f"""hr AS (SELECT domain, seq, generate_subscripts(l, 1) AS pos, trim(unnest(l)) AS href FROM (
   SELECT *, regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a', 1) AS l FROM t)),
-f AS ({' UNION ALL '.join(f"SELECT domain, seq, pos, '{n}' AS network, regexp_extract(href, '{yes}') AS link FROM h WHERE regexp_matches(href, '{yes}')" + (f" AND NOT regexp_matches(href, '{no}')" if no else '') for n, (yes, no) in lx.SOCIAL.items())})
-SELECT domain, network, regexp_replace(arg_min(link, seq * 100000 + pos), '[/.]+$', '') AS link FROM f GROUP BY domain, network""")
+sf AS ({' UNION ALL '.join(f"SELECT domain, seq, pos, '{n}' AS network, regexp_extract(href, '{yes}') AS link FROM hr WHERE regexp_matches(href, '{yes}')" + (f" AND NOT regexp_matches(href, '{no}')" if no else '') for n, (yes, no) in lx.SOCIAL.items())}),
+so AS (SELECT domain, network, regexp_replace(arg_min(link, seq * 100000 + pos), '[/.]+$', '') AS link FROM sf GROUP BY domain, network)"""
+
+
+@query("page_socials", f"{PAGES}, {SOCIALS_FOUND} SELECT domain, network, link FROM so")
 def page_socials(spark, sf):
     s = ex.domain_signals(signals(spark, sf, "socials"))
     return s.select("domain", F.col("value").alias("network"), F.col("note").alias("link"))
@@ -222,12 +232,51 @@ def enrichment_apply(spark, sf):
                       "hiring", F.col("last_enriched_at").isNotNull().alias("enriched"))
 
 
-@query("enrichment_json", f"""{PAGES} SELECT domain, count(*) AS n_pages FROM t GROUP BY domain""")
+#: Pages with a head of their own; every fourth is the home page of its site.
+DOCUMENTS = f"""SELECT seq, CASE WHEN seq % 4 = 0 THEN concat('https://', regexp_extract(url, '//([^/?#]+)', 1), '/') ELSE url END AS url,
+  concat('<html><head><title> Mill &amp; Co ', seq, '</title><meta name="description" content="We bind ', seq, ' books"><meta property="og:site_name" content="Site ', seq % 7, '"></head><body>', html) AS html
+FROM ({mart.PAGE})"""
+DOCUMENTS_SQL = f"""WITH p AS {mart.sql_text(DOCUMENTS)}, b AS (SELECT seq, url, html, {blocks_sql('html')} AS blocks, {domain_sql('url')} AS domain FROM p),
+t AS (SELECT *, array_to_string(blocks, ' ') AS text FROM b), {EMAILS_FOUND}, {PHONES_FOUND}, {SOCIALS_FOUND}, tf AS ({TECH_SQL}),
+mails AS (SELECT domain, string_agg(email, ' ' ORDER BY o) AS emails FROM (SELECT domain, email, min(seq * 100000 + pos) AS o FROM em GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY domain ORDER BY min(seq * 100000 + pos)) <= 20) GROUP BY domain),
+calls AS (SELECT domain, string_agg(phone, ' ' ORDER BY o) AS phones FROM (SELECT domain, phone, min(seq * 100000 + pos) AS o FROM ph GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY domain ORDER BY min(seq * 100000 + pos)) <= 10) GROUP BY domain),
+nets AS (SELECT domain, string_agg(network || '=' || link, ' ' ORDER BY network) AS socials FROM so GROUP BY domain),
+stack AS (SELECT domain, string_agg(product, ', ' ORDER BY o) AS tech_stack, bool_or(modern) AS modern_stack FROM (SELECT domain, product, bool_or(modern) AS modern, min(seq * 100 + pos) AS o FROM tf GROUP BY 1, 2) GROUP BY domain),
+whole AS (SELECT domain, count(*) AS n_pages, min(seq) FILTER (seq % 4 = 0) AS home, string_agg(text, chr(10) ORDER BY seq) AS text, string_agg(html, chr(10) ORDER BY seq) AS html,
+  {first_per_domain("regexp_extract(text, '" + lx.FAMILY + "')")} AS hint, {first_per_domain("regexp_extract(text, '" + HIRING_SQL + "')")} AS phrase, bool_or(seq % 13 = 10) AS staffed,
+  bool_or(seq % 4 <> 0 AND regexp_matches(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '{lx.CAREERS_PATH}')) AS careers, bool_or(regexp_matches(html, '{lx.JOB_BOARD}')) AS board FROM t GROUP BY domain),
+y AS (SELECT *, {{found}} AS founded, coalesce({{shown}}, {{source}}) AS copyright FROM whole)
+SELECT domain, n_pages, coalesce(emails, '') AS emails, coalesce(phones, '') AS phones,
+  CASE WHEN staffed THEN 'Orla Quist/Owner/true, Tomas Ekdal/Founder & CEO/true, Petra Venn/Office Manager/false' ELSE '' END AS people,
+  coalesce(tech_stack, '') AS tech_stack, coalesce(modern_stack, false) AS modern_stack, coalesce(socials, '') AS socials, 'Mill & Co ' || home AS title, 'We bind ' || home || ' books' AS description,
+  'Site ' || home % 7 AS site_name, founded AS founded_year, copyright AS copyright_year, hint IS NOT NULL AS family_owned, hint AS family_owned_hint,
+  careers OR phrase IS NOT NULL OR board AS hiring, concat_ws(', ', CASE WHEN careers THEN 'careers page' END, '"' || phrase || '"', CASE WHEN board THEN 'job board link' END) AS hiring_evidence
+FROM y LEFT JOIN mails USING (domain) LEFT JOIN calls USING (domain) LEFT JOIN nets USING (domain) LEFT JOIN stack USING (domain)"""
+
+
+def years_sql(text: str, pattern: str, best: str, low: int, high: int) -> str:
+    return f"list_{best}(list_filter(list_transform(regexp_extract_all({text}, '{pattern}', 1), lambda y: CAST(y AS INTEGER)), lambda y: y BETWEEN {low} AND {high}))"
+
+
+DOCUMENTS_SQL = DOCUMENTS_SQL.replace("{found}", years_sql("text", lx.FOUNDED, "min", 1850, YEAR)).replace(
+    "{shown}", years_sql("text", lx.COPYRIGHT, "max", 1990, YEAR + 1)).replace("{source}", years_sql("html", lx.COPYRIGHT, "max", 1990, YEAR + 1))
+
+
+@query("enrichment_json", DOCUMENTS_SQL)
 def enrichment_json(spark, sf):
-    e = ex.enrichment_rows(site_pages(spark, sf), YEAR)
-    stored = e.select("domain", F.to_json(F.struct(*e.columns)).alias("doc"))
-    back = stored.withColumn("e", F.from_json("doc", e.schema))
-    return back.select("domain", F.col("e.n_pages").alias("n_pages"))
+    """Everything found on a site, stored as one document and read back field by field."""
+    rows = ex.enrichment_rows(site_pages(spark, sf, DOCUMENTS), YEAR)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name != "domain"}
+    e = ex.document_rows(checkpoint(ex.enrichment_documents(rows)), kinds)
+    people = F.transform("people", lambda p: F.concat_ws("/", p["full_name"], p["title"], p["is_decision_maker"].cast("string")))
+    socials = F.array_sort(F.transform(F.map_entries("socials"), lambda x: F.concat_ws("=", x["key"], x["value"])))
+
+    def words(c, sep):
+        return F.coalesce(F.array_join(c, sep), F.lit(""))
+
+    return e.withColumns({
+        "emails": words("emails", " "), "phones": words("phones", " "), "people": words(people, ", "), "tech_stack": words("tech_stack", ", "),
+        "socials": words(socials, " "), "hiring_evidence": words("hiring_evidence", ", ")})
 
 
 @query("signals_merge", """SELECT c_custkey AS id, 'ssl=' || CASE WHEN c_acctbal > 0 THEN 'new' ELSE 'old' END || ',hiring=' || c_mktsegment AS signals FROM customer""")

@@ -291,3 +291,11 @@ def test_years_over_borders_equal_one_joined_text(spark, monkeypatch):
         old = [int(y) for y in re.findall(lx.FOUNDED, text)]
         seen = [int(y) for y in re.findall(lx.COPYRIGHT, text) if 1990 <= int(y) <= 2027]
         assert got[site] == (min(old, default=None), max(seen, default=None)), site
+
+
+def test_documents_outlive_their_fields(spark):
+    rows = ex.enrichment_rows(pages(spark), 2026, ["emails", "founded"])
+    docs = ex.enrichment_documents(rows)
+    old = docs.select("domain", F.expr("parse_json('{\"founded_year\": \"soon\", \"emails\": [\"a@b.nz\"], \"fax\": 1}')").alias("doc"))
+    read = ex.document_rows(docs.unionByName(old), {"founded_year": "int", "emails": "array<string>", "fax": "int"})
+    assert [tuple(r)[1:] for r in read.collect()] == [(1931, ["orla@quillotter.nz", "desk@quillotter.nz"], None), (None, ["a@b.nz"], 1)]
