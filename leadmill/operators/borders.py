@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill import lexicons as lx
+from leadmill.functions import normalize as nz
 from leadmill.operators.ranking import ranked
 
 #: Characters of a page that can take part in a phrase over its border: the longest phrase has 162 with white
@@ -30,17 +31,24 @@ OPENING = r"(?i)founded|established|est|since|serving|©|&copy;|\(c\)|copyright"
 YEAR = r"(?:19|20)\d{2}"
 
 
-def page_edges(text: Column) -> tuple[Column, Column]:
-    """(what of a page can belong to a phrase over a border, whether one can begin in it).
+def page_edge(text: Column) -> Column:
+    """struct<edge, opens>: what of a page can belong to a phrase over a border, whether one can begin in it.
 
     A short text is kept whole, as a phrase may run through it. Of others the first characters stay where they
     have a year and the last ones where a phrase can begin.
     """
     plain = F.regexp_replace(F.replace(text, F.lit(BORDER), F.lit(" ")), rf"\s{{{RUN},}}", " " * RUN)
-    head, tail = F.substring(plain, 1, EDGE), F.right(plain, F.lit(EDGE))
-    opens = tail.rlike(OPENING)
-    cut = F.concat(F.when(head.rlike(YEAR), head).otherwise(""), F.lit(CUT), F.when(opens, tail).otherwise(""))
-    return F.when(F.length(plain) <= 2 * EDGE, plain).otherwise(cut), opens
+    ends = nz.let(plain, lambda t: F.struct(
+        F.when(F.length(t) <= 2 * EDGE, t).alias("whole"), F.substring(t, 1, EDGE).alias("head"), F.right(t, F.lit(EDGE)).alias("tail")
+    ))
+    marked = nz.let(ends, lambda e: F.struct(e.alias("e"), e["tail"].rlike(OPENING).alias("opens")))
+
+    def edge(m):
+        e = m["e"]
+        cut = F.concat(F.when(e["head"].rlike(YEAR), e["head"]).otherwise(""), F.lit(CUT), F.when(m["opens"], e["tail"]).otherwise(""))
+        return F.struct(F.coalesce(e["whole"], cut).alias("edge"), m["opens"].alias("opens"))
+
+    return nz.let(marked, edge)
 
 
 def _crossing(kind: str, pattern: str, low: int, high: int) -> Column:

@@ -19,7 +19,7 @@ from leadmill.functions.phones import dialled, number_of, region_for
 from leadmill.functions.text import (
     deobfuscate, head_texts, html_blocks, percent_decode, title_case,
 )
-from leadmill.operators.borders import border_years, page_edges
+from leadmill.operators.borders import border_years, page_edge
 from leadmill.operators.crawl import anchors
 from leadmill.operators.ranking import first_k
 from leadmill.session import checkpoint
@@ -150,12 +150,12 @@ def _years(this_year: int) -> Column:
     old = F.array_min(founded_years(F.col("text"), this_year))
     seen = F.array_max(copyright_years(F.col("text"), this_year))
     source = F.array_max(copyright_years(F.col("html"), this_year))
-    edge, opens = page_edges(F.col("text"))
+    # bound, as each use of a column inside an array function is evaluated again
     return F.concat(
-        _one("edge", edge, note=F.when(opens, "opens")),
-        _one("founded", old, first=old),
-        _one("copyright", seen, first=-seen),
-        _one("copyright_source", source, first=-source),
+        nz.let(page_edge(F.col("text")), lambda e: F.array(_signal("edge", e["edge"], note=F.when(e["opens"], "opens")))),
+        nz.let(old, lambda y: _one("founded", y, first=y)),
+        nz.let(seen, lambda y: _one("copyright", y, first=-y)),
+        nz.let(source, lambda y: _one("copyright_source", y, first=-y)),
     )
 
 
