@@ -137,24 +137,25 @@ def _nodes(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
     return firm, opened
 
 
-def _reachable(firm: DataFrame, opened: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Drop kept rows without a place that no open row can ever reach.
+def _queues(firm: DataFrame, pairs: DataFrame, opened: DataFrame) -> DataFrame:
+    """(q, at, u): the kept rows without a place, numbered in row order under their name.
 
-    Each such row, once matched, takes a place, and later rows of that place go to it. So of
-    equal names only as many are reached as similar open groups exist, plus one.
+    Every open group with a place that looks at such a row looks at all rows of that name, the first one first. So the rows
+    of a name that have taken a place are always its first ones, and one place in the line stands for the whole list.
     """
-    groups = opened.groupBy("name").agg(F.count("*").alias("n"))
-    reach = (
-        pairs.join(groups.withColumnRenamed("name", "other"), "other")
-        .groupBy("name").agg(F.sum("n").alias("reach"))
-    )
-    loose = ranked(firm.filter("place IS NULL"), ["name"], [F.col("node").asc()], "turn")
-    loose = loose.join(reach, "name").filter(F.col("turn") <= F.col("reach") + 1)
-    return firm.filter("place IS NOT NULL").unionByName(loose.select(*firm.columns))
+    asked = pairs.join(opened.select("name").distinct(), "name", "left_semi").select(F.col("other").alias("name")).distinct()
+    loose = firm.filter("place IS NULL").join(asked, "name", "left_semi")
+    numbered = ranked(loose, ["name"], [F.col("node").asc()], "at")
+    return checkpoint(numbered.select(F.col("name").alias("q"), "at", F.col("node").alias("u")))
+
 
+def candidate_edges(firm: DataFrame, opened: DataFrame, partners: int = PARTNERS) -> tuple[DataFrame, DataFrame | None]:
+    """(v, v_place, u, u_late, u_place, q, at): open group v may match the earlier node u; and the queues (None if empty).
 
-def candidate_edges(firm: DataFrame, opened: DataFrame, partners: int = PARTNERS) -> DataFrame:
-    """(v, v_place, u, u_late, u_place): open group v may match the earlier node u."""
+    Kept rows without a place are not listed one by one: a group with a place has one edge to the queue ``q`` of each
+    similar name, which stands at its ``at``-th row, and a group without a place only meets the first of them.
+    """
+    firm = checkpoint(firm)
     names = firm.select("name", F.lit(False).alias("cand")).unionByName(
         opened.select("name", F.lit(True).alias("cand"))
     ).groupBy("name").agg(F.bool_or("cand").alias("cand"))
@@ -166,23 +167,75 @@ def candidate_edges(firm: DataFrame, opened: DataFrame, partners: int = PARTNERS
         .unionByName(found.select(F.col("b").alias("name"), F.col("a").alias("other")))
         .unionByName(same)
     )
-    firm = _reachable(firm, opened, pairs)
-    u = firm.unionByName(opened).select(
+    queues = None if firm.filter("place IS NULL").isEmpty() else _queues(firm, pairs, opened)
+    u = firm.filter("place IS NOT NULL").unionByName(opened).select(
         F.col("name").alias("other"), F.col("place").alias("u_place"), F.col("node").alias("u"),
         F.col("late").alias("u_late"),
-    )
-    v = opened.select("name", F.col("place").alias("v_place"), F.col("node").alias("v")).join(pairs, "name")
-    here = v.filter("v_place IS NOT NULL")
-    # same known place; the other side's place unknown; own place unknown
+    ).withColumns({"q": F.lit(None).cast("string"), "at": F.lit(None).cast("int")})
+    v = opened.select("name", F.col("place").alias("v_place"), F.col("node").alias("v")).join(pairs, "name").drop("name")
+    here, nowhere = v.filter("v_place IS NOT NULL"), v.filter("v_place IS NULL")
+    columns = ["v", "v_place", "u", "u_late", "u_place", "q", "at"]
+    # same known place; the other side's place unknown; own place unknown: any node will do, of kept rows the first
     at = here.join(u, (here["other"] == u["other"]) & (here["v_place"] == u["u_place"]))
-    loose = u.filter("u_place IS NULL")
-    to_any = here.join(loose, here["other"] == loose["other"])
-    nowhere = v.filter("v_place IS NULL")
-    from_any = nowhere.join(u, nowhere["other"] == u["other"])
-    edges = at.select("v", "v_place", "u", "u_late", "u_place")
-    for more in (to_any, from_any):
-        edges = edges.unionAll(more.select("v", "v_place", "u", "u_late", "u_place"))
-    return edges.filter((~F.col("u_late")) | (F.col("u") < F.col("v")))
+    to_any = here.join(u.filter("u_place IS NULL"), "other")
+    from_late = nowhere.join(u.filter("u_late"), "other")
+    first = firm.groupBy(F.col("name").alias("other")).agg(F.min_by(F.struct("place", "node"), "node").alias("f")).select(
+        "other", F.col("f.place").alias("u_place"), F.col("f.node").alias("u"), F.lit(False).alias("u_late"),
+        F.lit(None).cast("string").alias("q"), F.lit(None).cast("int").alias("at"),
+    )
+    kinds = [at, to_any, from_late, nowhere.join(first, "other")]
+    if queues is not None:
+        heads = queues.filter("at = 1").select(
+            F.col("q").alias("other"), F.lit(None).cast("string").alias("u_place"), "u", F.lit(False).alias("u_late"), "q", "at"
+        )
+        kinds.append(here.join(heads, "other"))
+    edges = kinds[0].select(columns)
+    for more in kinds[1:]:
+        edges = edges.unionAll(more.select(columns))
+    return edges.filter((~F.col("u_late")) | (F.col("u") < F.col("v"))), queues
+
+
+#: An edge that stands at the head of its queue; a choice whose group has no other edge left.
+HEAD = "q IS NOT NULL AND u_city IS NULL AND NOT u_gone"
+ONLY_HEAD = "live = 1 AND c.q IS NOT NULL AND c.u_city IS NULL"
+
+
+def _claims(judged: DataFrame, choice: DataFrame, queues: DataFrame) -> DataFrame | None:
+    """Settles the groups that wait for one queue and nothing else, up to the first one there that waits for more.
+
+    In row order each place that is new to the queue takes the queue's next row, and the groups of a place share
+    it; places for which no row is left keep their first group.
+    """
+    waiting = choice.filter(ONLY_HEAD).select("v", F.col("c.q").alias("q"), F.col("c.v_place").alias("place"), F.col("c.at").alias("at"))
+    if waiting.isEmpty():
+        return None
+    others = judged.filter(HEAD).filter("verdict <> 'no'").join(waiting.select("v"), "v", "left_anti")
+    sure = waiting.join(others.groupBy("q").agg(F.min("v").alias("border")), "q", "left").filter("border IS NULL OR v < border")
+    places = sure.groupBy("q", "place").agg(F.min("v").alias("first"), F.min("at").alias("head"))
+    turns = ranked(places, ["q"], [F.col("first").asc()], "turn").withColumn("at", F.col("head") + F.col("turn") - 1)
+    given = turns.join(queues, ["q", "at"], "left").select("q", "place", "first", "u")
+    return checkpoint(
+        sure.join(given, ["q", "place"]).select(
+            F.col("v").alias("s"), F.col("u").alias("to"), F.when(F.col("v") != F.col("first"), F.col("place")).alias("had"), F.col("place").alias("gave")
+        )
+    )
+
+
+def _advanced(heads: DataFrame, settled: DataFrame, queues: DataFrame) -> DataFrame:
+    """Edges at the head of a queue after a round: at the row that took their place, else at the next free one.
+
+    An edge whose queue has ended stays as one that is ruled out, so that its group is settled.
+    """
+    taken = settled.filter("to IS NOT NULL AND had IS NULL AND gave IS NOT NULL").select(F.col("to").alias("u"), "gave").join(queues, "u")
+    taken = taken.select("q", F.col("gave").alias("v_place"), F.col("u").alias("got"))
+    steps = taken.groupBy("q").agg(F.count("*").cast("int").alias("steps"))
+    ahead = queues.select("q", F.col("at").alias("goal"), F.col("u").alias("ahead"))
+    out = heads.join(taken, ["q", "v_place"], "left").join(steps, "q", "left").withColumn("goal", F.col("at") + F.col("steps"))
+    out = out.join(ahead, ["q", "goal"], "left")
+    return out.withColumns({
+        "u": F.coalesce("got", "ahead", "u"), "at": F.coalesce("goal", "at"), "u_city": F.when(F.col("got").isNotNull(), F.col("v_place")),
+        "u_gone": F.col("got").isNull() & F.col("goal").isNotNull() & F.col("ahead").isNull(),
+    }).select(heads.columns)
 
 
 def _chains(single: DataFrame, settled: DataFrame) -> DataFrame | None:
@@ -216,7 +269,11 @@ def _chains(single: DataFrame, settled: DataFrame) -> DataFrame | None:
     )
 
 
-def resolve(edges: DataFrame) -> DataFrame:
+#: Rounds whose outcomes are brought together in one table.
+FOLD = 8
+
+
+def resolve(edges: DataFrame, queues: DataFrame | None = None) -> DataFrame:
     """(v, u): the keeper each open group ends at, in the order-dependent sense: the first
     earlier kept row that is similar and in the same place at that moment.
 
@@ -226,9 +283,12 @@ def resolve(edges: DataFrame) -> DataFrame:
     match, so while its place is open only the earliest waiting group may claim it. The
     earliest unsettled group always settles, so the rounds end; chains in which each group hangs on one
     other are settled at once by pointer doubling, and a group with any certain match counts as not kept before
-    its own match is known. A round's edges are
+    its own match is known. Edges to a queue (see ``candidate_edges``) move along it; groups that wait for nothing
+    else are settled together. A round's edges are
     deleted once the next round's are written; its choices are part of the result.
     """
+    if queues is None:
+        edges = edges.withColumns({"q": F.lit(None).cast("string"), "at": F.lit(None).cast("int")})
     state = edges.withColumns(
         {"u_open": F.col("u_late"), "u_gone": F.lit(False), "u_city": F.col("u_place")}
     )
@@ -259,20 +319,25 @@ def resolve(edges: DataFrame) -> DataFrame:
         # the outcome of such an edge hangs on nothing but whether ``u`` is kept
         plain = F.col("u_open") & ~F.col("u_gone") & (F.col("v_place").isNull() | F.coalesce(F.col("u_city") == F.col("v_place"), F.lit(False)))
         choice = judged.withColumn("plain", plain).groupBy("v").agg(
-            F.min_by(F.struct("verdict", "u", "u_city", "v_place", "plain"), F.when(F.col("verdict") != "no", F.col("turn"))).alias("c"),
+            F.min_by(F.struct("verdict", "u", "u_city", "v_place", "plain", "q", "at"), F.when(F.col("verdict") != "no", F.col("turn"))).alias("c"),
             F.min(F.when(F.col("verdict") == "yes", F.col("turn"))).alias("stop"),
             F.count_if(F.col("verdict") != "no").alias("live"),
         )
         choice = checkpoint(choice)
-        settled = choice.filter("c IS NULL OR c.verdict = 'yes'").select(
+        claims = None if queues is None else _claims(judged, choice, queues)
+        # the first group at a queue is among the claims if it waits for nothing else
+        certain = choice.filter("c IS NULL OR c.verdict = 'yes'") if claims is None else choice.filter(f"c IS NULL OR (c.verdict = 'yes' AND NOT ({ONLY_HEAD}))")
+        settled = certain.select(
             F.col("v").alias("s"), F.col("c.u").alias("to"), F.col("c.u_city").alias("had"), F.col("c.v_place").alias("gave")
         )
+        if claims is not None:
+            settled = settled.unionAll(claims)
         chained = _chains(choice.filter("live = 1 AND c.verdict = 'unknown' AND c.plain"), settled)
         if chained is not None:
             settled = checkpoint(settled.unionAll(chained))
         done.append(settled)
         open_ = choice.filter("c IS NOT NULL AND c.verdict <> 'yes'").select(F.col("v").alias("o"), "stop")
-        if chained is not None:
+        if chained is not None or claims is not None:
             open_ = open_.join(settled.select(F.col("s").alias("o")), "o", "left_anti")
         left = (
             judged.filter("verdict <> 'no'").join(open_, judged["v"] == F.col("o"))
@@ -288,16 +353,28 @@ def resolve(edges: DataFrame) -> DataFrame:
         placed = settled.filter("to IS NOT NULL AND had IS NULL AND gave IS NOT NULL").select(
             F.col("to").alias("k"), F.col("gave")
         )
+        heads = left.filter(HEAD)
+        left = left if queues is None else left.filter(f"NOT ({HEAD})")
         left = left.join(placed, left["u"] == F.col("k"), "left").withColumn(
             "u_city", F.coalesce("u_city", "gave")
         ).drop("k", "gave")
+        if queues is not None:
+            left = left.unionByName(_advanced(heads, settled, queues))
         now = checkpoint(left)
         discard(state)
         state = now
-    ends = edges.select("v", "u").limit(0)
-    for settled in done:
-        ends = ends.unionAll(settled.select(F.col("s").alias("v"), F.col("to").alias("u")))
-    return ends
+        if len(done) > FOLD:
+            done = [checkpoint(_together(done))]
+    if not done:
+        return edges.select("v", "u").limit(0)
+    return _together(done).select(F.col("s").alias("v"), F.col("to").alias("u"))
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionAll(part)
+    return whole
 
 
 def fuzzy_decisions(decided: DataFrame, partners: int = PARTNERS) -> DataFrame:
@@ -307,7 +384,7 @@ def fuzzy_decisions(decided: DataFrame, partners: int = PARTNERS) -> DataFrame:
     opened = checkpoint(opened)
     if opened.isEmpty():
         return decided
-    ends = resolve(candidate_edges(firm, opened, partners))
+    ends = resolve(*candidate_edges(firm, opened, partners))
     groups = opened.join(ends.withColumnRenamed("v", "node"), "node", "left").select(
         F.col("name").alias("g_name"), F.col("place").alias("g_place"), "node", F.col("u").alias("end")
     )
