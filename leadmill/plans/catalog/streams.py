@@ -11,7 +11,7 @@ from leadmill.operators import scoring as sc
 from leadmill.plans import mart, pipeline
 from leadmill.plans.catalog.crawl import site_pages
 from leadmill.plans.catalog.imports import RAW
-from leadmill.plans.registry import query, table
+from leadmill.plans.registry import arriving, query, table
 from leadmill.session import cut_folder
 from leadmill.sources import delimited as dl
 from leadmill.streaming import incremental as inc
@@ -21,7 +21,7 @@ from leadmill.streaming import incremental as inc
   count(*) FILTER (outcome = 'failed' OR (outcome = 'processed' AND elapsed_ms > 25000)) AS failed FROM {mart.sql_text(mart.OUTCOME)} GROUP BY job_id""")
 def stream_progress(spark, sf):
     events = table(spark, sf, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = arriving(spark, sf, "events", events.schema)
     outcomes = spark.sql(mart.OUTCOME, events=stream)
     folder = f"{cut_folder(spark)}/progress-{uuid.uuid4().hex}"
 
@@ -39,7 +39,7 @@ def stream_progress(spark, sf):
 @query("stream_intake", f"{RAW} SELECT CASE WHEN seq = keeper THEN 'keep' ELSE 'exact' END AS decision, count(*) AS n FROM g GROUP BY 1")
 def stream_intake(spark, sf):
     pages = table(spark, sf, "pages")
-    stream = spark.readStream.schema(pages.schema).option("pathGlobFilter", "pages.parquet").parquet(sf)
+    stream = arriving(spark, sf, "pages", pages.schema)
     folder = f"{cut_folder(spark)}/intake-{uuid.uuid4().hex}"
 
     def make(batch):
@@ -47,7 +47,7 @@ def stream_intake(spark, sf):
 
     arrivals = stream.withColumn("file", F.col("_metadata.file_path"))
     inc.intake(arrivals, make, f"{folder}/state", folder).awaitTermination()
-    return inc.imported(spark, folder).groupBy("decision").agg(F.count("*").alias("n"))
+    return inc.imported(spark, folder, "seq bigint, decision string").groupBy("decision").agg(F.count("*").alias("n"))
 
 
 LEAD_FILE = """SELECT c_mktsegment AS segment, c_name AS name, CASE WHEN c_custkey % 7 = 0 THEN 'n/a' ELSE concat('c', c_custkey, '-shop.com') END AS website,

@@ -60,9 +60,11 @@ def intake(arrivals: DataFrame, make: Callable[[DataFrame], DataFrame], state: s
     )
 
 
-def imported(spark: SparkSession, table: str) -> DataFrame:
-    """The results of all finished runs, with their ``run``."""
+def imported(spark: SparkSession, table: str, schema: str | None = None) -> DataFrame:
+    """The results of all finished runs, with their ``run``; ``schema`` is for a table into which nothing has come."""
     marks = _existing(spark, MARKS, f"{table}/marks").select("run").distinct()
+    if schema and marks.isEmpty():
+        return spark.createDataFrame([], f"{schema}, run string")
     return spark.read.option("basePath", f"{table}/results").parquet(f"{table}/results/run=*").join(marks, "run", "left_semi")
 
 

@@ -1,6 +1,8 @@
 from leadmill.operators import scoring as sc
 from leadmill.operators import stats as st
+from leadmill.plans import catalog
 from leadmill.plans import pipeline as pl
+from leadmill.plans.registry import QUERIES
 
 HTML = """<html><head><title>Acme</title></head><body><p>Family-owned. Founded in 1998.</p><ul><li>John Smith, Owner</li></ul>
 <a href="mailto:john@acme.com">mail</a><a href="tel:512-555-0100">call</a><footer>&copy; 2010</footer></body></html>"""
@@ -32,3 +34,18 @@ def test_import_enrich_validate_score(spark):
     assert again.companies.filter("domain IS NOT NULL").count() == 2
     assert {r.decision for r in again.decisions.filter("domain IS NOT NULL").collect()} == {"existing"}
     assert st.run_summary(leads, spark.createDataFrame([(4, 1)], "total_rows int, duplicates_removed int")).first().dead == 1
+
+
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    catalog.load()
+    page = "<title>Quill {0}</title>"
+    pages = spark.createDataFrame([(i, f"http://s{i % 4}.example.org/en/{i}", page.format(i)) for i in range(40)], "page_id bigint, url string, html string")
+    pages.repartition(3).write.parquet(str(tmp_path / "many/pages.parquet"))
+    got = {r.decision: r.n for r in QUERIES["stream_intake"](spark, str(tmp_path / "many")).collect()}
+    assert got == {"exact": 39, "keep": 1}
+    pages.limit(0).write.parquet(str(tmp_path / "none/pages.parquet"))
+    assert QUERIES["stream_intake"](spark, str(tmp_path / "none")).collect() == []
+    events = spark.createDataFrame([(i, "view" if i % 3 else "click") for i in range(30)], "event_id bigint, event_type string")
+    events.repartition(3).write.parquet(str(tmp_path / "many/events.parquet"))
+    got = {r.event_type: r.n for r in QUERIES["throttled_dashboard"](spark, str(tmp_path / "many")).collect()}
+    assert got == {"view": 20, "click": 10}
