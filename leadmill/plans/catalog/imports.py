@@ -13,6 +13,7 @@ from leadmill.plans import mart
 from leadmill.plans.catalog.normalize import domain_sql, listed, name_key_sql
 from leadmill.plans.catalog.scoring import company, contact
 from leadmill.plans.registry import query, table
+from leadmill.session import checkpoint
 from leadmill.sources import delimited as dl
 
 # ---- headers, delimiters, skipped rows: header lines made of the given rows ----
@@ -148,7 +149,7 @@ def nodomain(spark, sf):
 
 def name_table(spark, sf):
     key = nz.sorted_tokens(nz.company_name_key("name"))
-    return mart.view(spark, sf, NAMES).select(key.alias("name")).distinct().withColumn("cand", F.lit(True))
+    return checkpoint(mart.view(spark, sf, NAMES).select(key.alias("name")).distinct().withColumn("cand", F.lit(True)))
 
 
 @query("dedup_fuzzy_pairs", f"""WITH n AS (SELECT DISTINCT list_aggregate(list_sort(string_split({name_key_sql('name')}, ' ')), 'string_agg', ' ') AS x FROM {mart.sql_text(NAMES)}),
